@@ -209,6 +209,23 @@ TABLES = {
 }
 
 
+GAPPY = ["payroll_number", "agency_title_count", "count_of_job_titles", "current_year"]
+
+
+def shown(table: str, *columns: str, drop: str = "") -> str:
+    """All rows of a table with rounded columns, dates as text, gappy counts as doubles."""
+    replaced = []
+    for c in columns:
+        if c in GAPPY:
+            replaced.append(f"CAST({c} AS DOUBLE) AS {c}")
+        elif c.endswith("_date"):
+            replaced.append(f"CAST({c} AS STRING) AS {c}")
+        else:
+            replaced.append(f"{r(c)} AS {c}")
+    exclude = f"EXCLUDE ({drop})" if drop else ""
+    return f"SELECT * {exclude} REPLACE ({', '.join(replaced)}) FROM {table}"
+
+
 def on(table: str, sql: str) -> str:
     """The query below the chain of tables that `table` is built from."""
     chain = []

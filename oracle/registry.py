@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import overtime
+from oracle import anomaly, benchmark, features, overtime, profile, tenure, workforce
 
-QUERIES: dict[str, str] = {**overtime.QUERIES}
+QUERIES: dict[str, str] = {
+    **profile.QUERIES, **workforce.QUERIES, **overtime.QUERIES, **tenure.QUERIES,
+    **anomaly.QUERIES, **features.QUERIES, **benchmark.QUERIES,
+}

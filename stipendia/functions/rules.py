@@ -6,9 +6,7 @@ when the text equals one of them. The first rule that fires wins.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stipendia.functions.scalars import squeeze, title_case
@@ -117,38 +115,45 @@ BOROUGH_COST = {
 }
 
 
-def _fires(text: Column, test: str, words: list[str]) -> Column:
-    if test == "is":
-        return text.isin(words)
-    hits = [text.contains(w) for w in words]
-    return reduce(Column.__and__ if test == "all" else Column.__or__, hits)
-
-
-def first_match(text: Column, rules, otherwise: Column) -> Column:
-    chain = F
-    for test, words, label in rules:
-        chain = chain.when(_fires(text, test, words), F.lit(label))
-    return chain.otherwise(otherwise)
-
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def agency_std(name: Column) -> Column:
-    text = _strip(name)
-    ruled = first_match(F.lower(text), AGENCY_RULES, title_case(text))
-    return F.when(name.isNull(), F.lit("Unknown Agency")).otherwise(ruled)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def title_category(title: Column) -> Column:
-    ruled = first_match(F.lower(title), CATEGORY_RULES, F.lit("Other Roles"))
-    return F.when(title.isNull(), F.lit("Unknown Role")).otherwise(ruled)
-
-
-def title_std(title: Column) -> Column:
-    ruled = first_match(F.lower(_strip(title)), TITLE_RULES, F.initcap(squeeze(title)))
-    return F.when(title.isNull(), F.lit("Unknown")).otherwise(ruled)
+def _fires(column: str, test: str, words: list[str]) -> str:
+    if test == "is":
+        return f"{column} in ({', '.join(map(_quoted, words))})"
+    hits = [f"contains({column}, {_quoted(w)})" for w in words]
+    return (" and " if test == "all" else " or ").join(hits)
+
+
+def first_match(column: str, rules, otherwise: str) -> Column:
+    """The label of the first rule that fires on a column of lower-case text.
+
+    Takes a column name, not an expression: the text is then computed once per row and not
+    once per rule.
+    """
+    branches = [f"when {_fires(column, t, words)} then {_quoted(label)}"
+                for t, words, label in rules]
+    return F.expr(f"case {' '.join(branches)} else {otherwise} end")
+
+
+def with_standard_names(df: DataFrame) -> DataFrame:
+    """Add agency_std, title_category and title_std."""
+    agency, title = F.col("agency_name"), F.col("title_description")
+    blank = F.lit(" \t\n\r\f\u000b")
+    return (
+        df.withColumns({"_agency": F.trim(agency, blank), "_title": F.trim(title, blank)})
+        .withColumns({"_agency_low": F.lower("_agency"), "_title_low": F.lower("_title")})
+        .withColumns({
+            "agency_std": F.when(agency.isNull(), "Unknown Agency").otherwise(F.coalesce(
+                first_match("_agency_low", AGENCY_RULES, "null"), title_case(F.col("_agency")))),
+            "title_category": F.when(title.isNull(), "Unknown Role").otherwise(
+                first_match("_title_low", CATEGORY_RULES, "'Other Roles'")),
+            "title_std": F.when(title.isNull(), "Unknown").otherwise(F.coalesce(
+                first_match("_title_low", TITLE_RULES, "null"), F.initcap(squeeze(title)))),
+        })
+        .drop("_agency", "_title", "_agency_low", "_title_low")
+    )
 
 
 def lookup(c: Column, table: dict) -> Column:
@@ -159,8 +164,8 @@ def lookup(c: Column, table: dict) -> Column:
     return chain
 
 
-def borough(c: Column) -> Column:
-    return lookup(F.coalesce(c, F.lit("UNKNOWN")), BOROUGHS)
+def official_borough(c: Column) -> Column:
+    return lookup(c, BOROUGHS)
 
 
 def job_seniority(title: Column) -> Column:

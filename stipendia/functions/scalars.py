@@ -41,13 +41,13 @@ def to_double(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def start_date(c: Column) -> Column:
-    """Month/day/year text to a date within 1970-01-01 .. 2025-10-31; bad text is null."""
-    return clip(
-        F.try_to_date(c, "M/d/yyyy"),
-        F.lit("1970-01-01").cast("date"),
-        F.lit("2025-10-31").cast("date"),
-    )
+def parsed_date(c: Column) -> Column:
+    """Month/day/year text, with or without leading zeros; bad text is null."""
+    return F.try_to_date(c, "M/d/yyyy")
+
+
+def plausible_date(c: Column) -> Column:
+    return clip(c, F.lit("1970-01-01").cast("date"), F.lit("2025-10-31").cast("date"))
 
 
 def tenure_at_june_30(year: Column, start: Column) -> Column:

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 
 from stipendia.functions import rules
 from stipendia.functions.buckets import EMPLOYMENT_HOURS, bucket
-from stipendia.functions.scalars import start_date, tenure_at_june_30, true
+from stipendia.functions.scalars import parsed_date, plausible_date, tenure_at_june_30, true
 from stipendia.schema import FIRST_YEAR, LAST_YEAR, PAY_COLUMNS
 
 STATUS = "leave_status_as_of_june_30"
 
 
 def located(raw: DataFrame) -> DataFrame:
-    """Active staff with a parsed start date and an official borough (others are dropped)."""
+    """Active staff of an official borough, with parsed start dates; others are dropped.
+
+    The borough filter names the accepted spellings, so that it reaches the scan. The date is
+    parsed in a step of its own, because its bounds refer to it more than once.
+    """
+    date = "agency_start_date"
+    borough = F.col("work_location_borough")
     return (
-        raw.where(F.col(STATUS) == "ACTIVE")
-        .withColumn("agency_start_date", start_date(F.col("agency_start_date")))
-        .withColumn("work_location_borough", rules.borough(F.col("work_location_borough")))
-        .where(F.col("work_location_borough").isNotNull())
+        raw.where((F.col(STATUS) == "ACTIVE") & borough.isin(list(rules.BOROUGHS)))
+        .withColumns({date: parsed_date(F.col(date)),
+                      "work_location_borough": rules.official_borough(borough)})
+        .withColumn(date, plausible_date(F.col(date)))
     )
 
 
@@ -33,13 +39,8 @@ def plausible(df: DataFrame) -> DataFrame:
 
 def standardised(df: DataFrame) -> DataFrame:
     """Tenure on 30 June of the fiscal year, standard agency, title category, standard title."""
-    return (
-        df.withColumn("employee_agency_tenure",
-                      tenure_at_june_30(F.col("fiscal_year"), F.col("agency_start_date")))
-        .withColumn("agency_std", rules.agency_std(F.col("agency_name")))
-        .withColumn("title_category", rules.title_category(F.col("title_description")))
-        .withColumn("title_std", rules.title_std(F.col("title_description")))
-    )
+    tenure = tenure_at_june_30(F.col("fiscal_year"), F.col("agency_start_date"))
+    return rules.with_standard_names(df.withColumn("employee_agency_tenure", tenure))
 
 
 def annual(df: DataFrame) -> DataFrame:

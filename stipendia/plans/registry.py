@@ -5,23 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipendia.plans import clean, overtime
-from stipendia.sources import starschema
+from stipendia import session
+from stipendia.plans import (
+    anomaly, benchmark, clean, features, overtime, profile, recipes, scoring, tenure, workforce,
+)
+from stipendia.schema import EMPLOYEE_ORDER, NUMERIC_COLUMNS, PAY_COLUMNS
+from stipendia.sources import payroll, sinks, starschema
 
 
 class Tables:
     """The stages of the payroll table over one folder, built on demand, all lazy."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = session.tune(spark), folder
 
     @cached_property
     def raw(self) -> DataFrame:
         return starschema.payroll_raw(self.spark, self.folder)
 
+    @cached_property
+    def located(self) -> DataFrame:
+        return clean.located(self.raw.distinct())
+
+    @cached_property
+    def standard(self) -> DataFrame:
+        return clean.standard_payroll(self.raw)
+
     @cached_property
     def clean(self) -> DataFrame:
         return clean.clean_payroll(self.raw)
@@ -30,25 +42,209 @@ class Tables:
     def population(self) -> DataFrame:
         return clean.analysis_population(self.raw)
 
+    @cached_property
+    def model(self) -> DataFrame:
+        return features.model_population(clean.analysis_population(self.raw, distinct=False))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.feature_table(self.model)
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return features.split_of(self.features, "train")
+
+    @cached_property
+    def reference(self) -> DataFrame:
+        return features.reference_table(self.train)
+
+    @cached_property
+    def training(self) -> DataFrame:
+        return features.with_reference(self.features, self.reference)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return features.yoy_summary(self.features)
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """A request for every known (title, agency), and one per title at an unknown agency.
+
+        Names are written as a user might, in upper case and with extra blanks.
+        """
+        title, agency = F.col("title_std"), F.col("agency_std")
+
+        def written(c: Column) -> Column:
+            return F.concat(F.lit("  "), F.upper(c), F.lit(" "))
+
+        known = self.features.groupBy("title_std", "agency_std").agg(F.count("*").alias("n"))
+        asked = known.select(
+            F.concat_ws(" @ ", title, agency).alias("request_id"), written(title).alias("title"),
+            written(agency).alias("agency"), (F.col("n") % 41).cast("int").alias("tenure_years"),
+        )
+        unknown = self.features.select("title_std").distinct().select(
+            F.concat_ws(" @ ", title, F.lit("nowhere")).alias("request_id"),
+            written(title).alias("title"), F.lit("Office  of Nowhere").alias("agency"),
+            F.lit(5).alias("tenure_years"),
+        )
+        return asked.unionByName(unknown)
+
+    @cached_property
+    def inputs(self) -> DataFrame:
+        categories = features.title_category_map(self.train)
+        return benchmark.benchmark_requests(self.requests, self.reference, categories)
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        """Test rows with the fallback estimate, the median of the title."""
+        return features.split_of(self.training, "test").withColumn(
+            "predicted_log_salary", F.ln("median_salary_by_title"))
+
+
+# Whole numbers that may be missing are shown as doubles, as data frames elsewhere hold them.
+GAPPY = {"payroll_number", "agency_title_count", "count_of_job_titles", "current_year"}
+
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles to four digits and dates to text: values two engines can agree on."""
     def show(name: str, kind: str):
-        if kind == "double":
-            return (F.round(name, digits) + F.lit(0.0)).alias(name)
-        return F.col(name).cast("string").alias(name) if kind == "date" else F.col(name)
+        c = F.col(name)
+        if name in GAPPY:
+            c = c.cast("double")
+        elif kind == "double":
+            c = F.round(c, digits) + F.lit(0.0)
+        elif kind == "date":
+            c = c.cast("string")
+        return c.alias(name)
 
     return df.select(*[show(*pair) for pair in df.dtypes])
 
 
-def on(stage: str, plan: Callable[[DataFrame], DataFrame]):
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def on(stage: str, plan: Callable[..., DataFrame], *args, **options) -> Query:
+    """A plan applied to one stage."""
+    return at(lambda t: plan(getattr(t, stage), *args, **options))
+
+
+def at(plan: Callable[[Tables], DataFrame]) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(plan(getattr(Tables(spark, folder), stage)))
+        return rounded(plan(Tables(spark, folder)))
 
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _load_payroll(t: Tables) -> DataFrame:
+    """Write the records as CSV with human column names, and load that."""
+    path = session.scratch_path(t.spark, "payroll-csv")
+    named = t.raw.toDF(*[c.replace("_", " ").title() for c in t.raw.columns])
+    sinks.write_csv(named, path)
+    return payroll.load_payroll(t.spark, path)
+
+
+def _write_splits(t: Tables) -> DataFrame:
+    """Write the split tables and the reference table, and count what can be read back."""
+    folder = session.scratch_path(t.spark, "splits")
+    sinks.write_splits(t.training, t.reference, folder)
+    parts = payroll.load_splits(t.spark, f"{folder}/splits")
+    reference = payroll.load_optional(t.spark, f"{folder}/reference")
+    counted = [p.groupBy(F.col("split").alias("part")).agg(F.count("*").alias("records"))
+               for p in parts]
+    counted.append(reference.agg(F.lit("reference").alias("part"), F.count("*").alias("records")))
+    first, *others = counted
+    for part in others:
+        first = first.unionByName(part)
+    return first
+
+
+def _joined_agencies(t: Tables) -> DataFrame:
+    return features.title_to_agencies(t.reference).withColumn(
+        "agencies", F.array_join("agencies", "|"))
+
+
+def _actual_and_predicted() -> tuple[Column, Column]:
+    return F.col("log_base_salary"), F.col("predicted_log_salary")
+
+
+_KEYS = ["fiscal_year", "agency_std", "title_std", "base_salary", "total_compensation"]
+
+
+def _estimates(t: Tables) -> DataFrame:
+    """A registry of three estimates without a model, scored on the test year."""
+    title, agency = F.col("median_salary_by_title"), F.col("median_salary_by_agency")
+    named = {"title_median": title, "agency_median": agency, "role_median": (title + agency) / 2}
+    each = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.ln(c).alias("estimate")) for n, c in named.items()
+    ])).alias("e")
+    rows = t.predicted.select("log_base_salary", each).select("log_base_salary", "e.*")
+    scores = scoring.regression_metrics(rows, F.col("log_base_salary"), F.col("estimate"), "name")
+    return scores.select("name", F.col("r2").alias("test_r2"),
+                         F.lit(None).cast("double").alias("best_cv_r2"))
+
+
+def _blended(t: Tables) -> DataFrame:
+    history = t.train.groupBy("title_std").agg(
+        F.round(F.avg("base_salary"), 0).alias("title_avg_salary"))
+    rows = benchmark.blended_prediction(t.predicted, F.col("median_salary_by_agency"), history)
+    return rows.select(*_KEYS, "tenure_years", "expected_salary", "historical_median",
+                       "model_prediction_raw")
+
+
+def _sample(t: Tables) -> DataFrame:
+    whole = ["base_salary", "total_compensation", "ot_hours", "total_ot_paid", "total_other_pay",
+             "regular_hours"]
+    days = F.round(F.coalesce("employee_agency_tenure", F.lit(-1.0)) * 365.25, 0).cast("long")
+    mark = F.md5(F.concat_ws(
+        "|", "fiscal_year", "title_category", "work_location_borough",
+        *[F.col(c).cast("long") for c in whole], days))
+    return recipes.stratified_sample(t.features, ["title_std", "agency_std"], 0.5, mark)
+
+
+def _scored(plan, *columns: str) -> Query:
+    return at(lambda t: plan(t.predicted, *_actual_and_predicted()).select(*columns))
+
+
+MODEL_NUMBERS = ["fiscal_year", "tenure_years", "title_frequency", "agency_size",
+                 "median_salary_by_title", "median_salary_by_agency", "count_of_job_titles",
+                 "current_year"]
+
+QUERIES: dict[str, Query] = {
+    # profile
+    "load_payroll": at(_load_payroll),
+    "dedup_report": on("raw", profile.dedup_report),
+    "missing_profile": on("raw", profile.missing_profile),
+    "numeric_profile": on("clean", profile.numeric_profile, NUMERIC_COLUMNS),
+    "cardinality_profile": on("raw", profile.cardinality_profile, [
+        "agency_name", "title_description", clean.STATUS, "work_location_borough"]),
+    "top_values": on("clean", profile.top_values, [
+        "agency_name", "last_name", "first_name", "agency_start_date", "work_location_borough",
+        "title_description"]),
+    "leave_status_counts": on("raw", profile.value_shares, clean.STATUS),
+    "pay_basis_counts": on("standard", profile.value_shares, "pay_basis"),
+    "top_titles": on("standard", profile.value_shares, "title_std", 20),
+    "sign_checks": on("located", profile.sign_checks, PAY_COLUMNS),
+    "numeric_histograms": on("clean", profile.numeric_histograms, NUMERIC_COLUMNS),
+    "head_sample": on("clean", profile.head_sample, EMPLOYEE_ORDER),
+    # cleaning and workforce
+    "clean_payroll": at(lambda t: t.clean),
+    "meaningful_employment": at(lambda t: t.population),
+    "borough_clean": on("raw", workforce.borough_clean),
+    "borough_share_2014": on("raw", workforce.borough_share),
+    "borough_year_pivot": on("standard", workforce.borough_year_pivot),
+    "workforce_by_year": on("clean", workforce.workforce_by_year),
+    "workforce_trend": on("clean", workforce.workforce_trend),
+    "standardization_effect": on("standard", workforce.standardization_effect),
+    "title_examples": on("standard", workforce.title_examples),
+    "title_search": on("standard", workforce.title_search),
+    "borough_distribution": on("population", workforce.borough_distribution),
+    "borough_hourly_vs_salaried": on("population", workforce.borough_hourly_vs_salaried),
+    "low_comp_share": on("clean", workforce.low_comp_share),
+    "low_comp_profile": on("clean", workforce.low_comp_profile),
+    "hours_buckets": on("clean", workforce.hours_buckets),
+    "salaried_by_agency": at(lambda t: profile.value_shares(
+        clean.employment_files(t.population)["salaried"], "agency_std", 20)),
+    # overtime
     "segment_counts": on("population", overtime.segment_counts),
     "segment_profile": on("population", overtime.segment_profile),
     "ot_overview": on("population", overtime.ot_overview),
@@ -64,4 +260,87 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "high_earner_counts": on("population", overtime.high_earner_counts),
     "top_earners": on("population", overtime.top_earners),
     "top_ot_civilian": on("population", overtime.top_ot_civilian),
+    # tenure
+    "tenure_quality": on("population", tenure.tenure_quality),
+    "tenure_validation": on("population", tenure.tenure_validation),
+    "tenure_buckets": on("population", tenure.tenure_buckets),
+    "new_hires": on("population", tenure.new_hires),
+    "new_hire_agencies": on("population", tenure.new_hire_agencies),
+    "salary_by_tenure": on("population", tenure.salary_by_tenure),
+    "tenure_progression": on("population", tenure.tenure_progression),
+    "career_stage": on("population", tenure.career_stage),
+    "pay_by_tenure": on("population", tenure.pay_by_tenure),
+    "tenure_linear_fit": on("population", tenure.tenure_linear_fit),
+    "tenure_correlations": on("population", tenure.tenure_correlations),
+    "tenure_agency_extremes": on("population", tenure.tenure_agency_extremes),
+    "tenure_agency_chart": on("population", tenure.tenure_agency_extremes, 500),
+    "tenure_by_category": on("population", tenure.tenure_by_category),
+    "senior_share": on("population", tenure.senior_share),
+    "salary_band_by_tenure": on("population", tenure.salary_band_by_tenure),
+    "tenure_category_heatmap": on("population", tenure.tenure_category_heatmap),
+    "tenure_master": on("population", tenure.tenure_master),
+    "tenure_histogram": on("population", tenure.tenure_histogram),
+    "tenure_percentiles": on("population", tenure.tenure_percentiles),
+    # anomalies
+    "anomaly_rule_counts": on("population", anomaly.anomaly_rule_counts),
+    "anomaly_scores": on("population", anomaly.anomaly_scores),
+    "anomaly_priorities": on("population", anomaly.anomaly_priorities),
+    "priority_anomalies": on("population", anomaly.priority_anomalies),
+    "investigation_table": on("population", anomaly.investigation_table),
+    "investigation_notes": on("population", anomaly.investigation_notes),
+    "investigation_final": on("population", anomaly.final_investigation),
+    "investigation_note_counts": on("population", anomaly.note_counts),
+    "agency_anomaly_rate": on("population", anomaly.agency_anomaly_rate),
+    # features
+    "model_population": at(lambda t: t.model),
+    "temporal_split": on("model", features.temporal_split),
+    "tenure_proxy": on("model", features.tenure_proxy),
+    "frequency_features": on("model", features.frequency_features),
+    "rare_titles": on("model", features.rare_titles),
+    "feature_table": at(lambda t: t.features),
+    "reference_table": at(lambda t: t.reference),
+    "reference_features": at(lambda t: t.training),
+    "yoy_summary": at(lambda t: t.panel),
+    "title_category_map": on("train", features.title_category_map),
+    "title_agency_totals": on("reference", features.title_agency_totals),
+    "title_to_agencies": at(_joined_agencies),
+    "write_splits": at(_write_splits),
+    # benchmarks and scores
+    "requests_without_reference": at(
+        lambda t: benchmark.requests_without_reference(t.requests, t.reference)),
+    "benchmark_requests": at(lambda t: t.inputs),
+    "yoy_growth": at(lambda t: benchmark.yoy_growth(t.inputs, t.panel)),
+    "salary_cagr": on("panel", benchmark.salary_cagr),
+    "salary_trajectory": at(lambda t: benchmark.salary_trajectory(t.inputs, t.panel)),
+    "median_histogram": on("reference", benchmark.median_histogram, "teacher"),
+    "blended_prediction": at(_blended),
+    "regression_metrics": _scored(scoring.regression_metrics, "rows", "r2", "rmse", "mae"),
+    "score_with_errors": at(lambda t: scoring.score_with_errors(t.predicted).select(
+        *_KEYS, "predicted_log_salary", "predicted_salary", "actual_log_salary", "log_error",
+        "salary_error_pct")),
+    "ranked_models": at(lambda t: scoring.ranked_models(_estimates(t)).select("name", "r2_score")),
+    "best_model": at(lambda t: scoring.best_model(_estimates(t)).select("name", "r2_score")),
+    "prediction_interval": _scored(scoring.prediction_interval, *_KEYS, "predicted_log_salary",
+                                   "lower_bound", "upper_bound"),
+    "error_by_range": _scored(scoring.error_by_range, "salary_range", "records", "mean_error"),
+    # recipes
+    "year_relative_salary": at(lambda t: recipes.year_relative_salary(t.features).select(
+        "fiscal_year", "agency_std", "title_std", "base_salary", "salary_vs_year_mean",
+        "salary_vs_year_median", "salary_std_by_year", "salary_percentile_by_year",
+        "salary_z_score_by_year", "salary_deviation_from_year_mean")),
+    "stratified_sample": at(_sample),
+    "min_stratum": on("features", recipes.min_stratum),
+    "borough_category_cube": on("features", recipes.borough_category_cube),
+    "split_strata_report": on("features", recipes.split_strata_report),
+    "interaction_features": at(lambda t: recipes.interaction_features(t.features).select(
+        "fiscal_year", "agency_std", "title_std", "base_salary", "tenure_years", "tenure_squared",
+        "tenure_cubed", "tenure_x_agency_size", "tenure_x_title_freq", "agency_size_x_title_freq",
+        "log_agency_size", "sqrt_tenure")),
+    "job_seniority": at(lambda t: recipes.job_seniority(t.features).groupBy(
+        "title_std", "job_seniority").agg(F.count("*").alias("records"))),
+    "borough_cola": at(lambda t: recipes.borough_cola(t.features).groupBy(
+        "work_location_borough", "borough_cola").agg(F.count("*").alias("records"))),
+    "agency_prestige": on("features", recipes.agency_prestige),
+    "variance_report": at(lambda t: recipes.variance_report(
+        features.split_of(t.training, "train"), MODEL_NUMBERS)),
 }
