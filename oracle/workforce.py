@@ -30,14 +30,15 @@ FROM standard
 """
 
 BOROUGHS_SQL = """
-SELECT data_set, coalesce(work_location_borough, 'UNKNOWN/NaN') AS borough, count(*) AS records,
-       round(100e0 * count(*) / sum(count(*)) OVER (PARTITION BY data_set), 2) AS pct
+SELECT data_set, borough, n AS records,
+       round(100e0 * n / sum(n) OVER (PARTITION BY data_set), 2) AS pct
+FROM (SELECT data_set, coalesce(work_location_borough, 'UNKNOWN/NaN') AS borough, count(*) AS n
 FROM (SELECT 'combined' AS data_set, work_location_borough FROM population
       UNION ALL SELECT CASE WHEN hours_tracked THEN 'hourly' ELSE 'salaried' END,
                        work_location_borough FROM population
       UNION ALL SELECT 'hourly_without_doe', work_location_borough FROM population
       WHERE hours_tracked AND agency_std <> 'Department of Education')
-GROUP BY ALL
+GROUP BY ALL)
 """
 
 VERSUS = f"""
@@ -91,8 +92,9 @@ QUERIES = {
     "borough_distribution": on("population", BOROUGHS_SQL),
     "borough_hourly_vs_salaried": on("population", VERSUS),
     "low_comp_share": on("clean", f"""
-        SELECT (SELECT count(*) FROM ({LOW})) AS records,
-               {pct('records', 'count(*)')} AS pct FROM clean"""),
+        SELECT count(*) FILTER (WHERE {COMP} < base_salary * 0.5) AS records,
+               {pct(f'count(*) FILTER (WHERE {COMP} < base_salary * 0.5)', 'count(*)')} AS pct
+        FROM clean"""),
     "low_comp_profile": on("clean", describe(LOW_COLUMNS, f"({LOW})")),
     "hours_buckets": on("clean", f"""
         SELECT hours_bucket, count(*) AS records FROM (SELECT {HOURS} AS hours_bucket FROM ({LOW}))

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stipendia import session
 from stipendia.plans import (
@@ -16,8 +17,32 @@ from stipendia.schema import EMPLOYEE_ORDER, NUMERIC_COLUMNS, PAY_COLUMNS
 from stipendia.sources import payroll, sinks, starschema
 
 
+# Where the stages of a folder were written in this application, and their schema.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stage(*partitions: str):
+    """A table that is written to the shared folder when first asked for, and then read.
+
+    These are the files that programs of a payroll pipeline hand to each other: the standard
+    records, the analysis population, features, reference table and yearly panel. They are
+    built once per application; all queries start from them.
+    """
+    def decorate(build: Callable[[Tables], DataFrame]) -> property:
+        def table(self: Tables) -> DataFrame:
+            key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
+            if key not in _WRITTEN:
+                _WRITTEN[key] = session.staged(build(self), build.__name__, *partitions)
+            path, schema = _WRITTEN[key]
+            return self.spark.read.schema(schema).parquet(path)
+
+        return property(table)
+
+    return decorate
+
+
 class Tables:
-    """The stages of the payroll table over one folder, built on demand, all lazy."""
+    """The payroll tables over one folder of given tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = session.tune(spark), folder
@@ -26,47 +51,47 @@ class Tables:
     def raw(self) -> DataFrame:
         return starschema.payroll_raw(self.spark, self.folder)
 
-    @cached_property
+    @property
     def located(self) -> DataFrame:
         return clean.located(self.raw.distinct())
 
-    @cached_property
+    @stage()
     def standard(self) -> DataFrame:
         return clean.standard_payroll(self.raw)
 
-    @cached_property
+    @property
     def clean(self) -> DataFrame:
-        return clean.clean_payroll(self.raw)
+        return clean.analysis_years(clean.annual(self.standard))
 
-    @cached_property
+    @stage()
     def population(self) -> DataFrame:
         return clean.analysis_population(self.raw)
 
-    @cached_property
+    @property
     def model(self) -> DataFrame:
         return features.model_population(clean.analysis_population(self.raw, distinct=False))
 
-    @cached_property
+    @stage("split")
     def features(self) -> DataFrame:
         return features.feature_table(self.model)
 
-    @cached_property
+    @property
     def train(self) -> DataFrame:
         return features.split_of(self.features, "train")
 
-    @cached_property
+    @stage()
     def reference(self) -> DataFrame:
         return features.reference_table(self.train)
 
-    @cached_property
+    @property
     def training(self) -> DataFrame:
         return features.with_reference(self.features, self.reference)
 
-    @cached_property
+    @stage()
     def panel(self) -> DataFrame:
         return features.yoy_summary(self.features)
 
-    @cached_property
+    @property
     def requests(self) -> DataFrame:
         """A request for every known (title, agency), and one per title at an unknown agency.
 
@@ -89,12 +114,12 @@ class Tables:
         )
         return asked.unionByName(unknown)
 
-    @cached_property
+    @property
     def inputs(self) -> DataFrame:
         categories = features.title_category_map(self.train)
         return benchmark.benchmark_requests(self.requests, self.reference, categories)
 
-    @cached_property
+    @property
     def predicted(self) -> DataFrame:
         """Test rows with the fallback estimate, the median of the title."""
         return features.split_of(self.training, "test").withColumn(

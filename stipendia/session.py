@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,6 +59,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str, *partitions: str) -> tuple[str, StructType]:
+    """Write a table once to the shared folder; what to read it back with.
+
+    Later jobs start from the files: they prune columns and partitions, and a lost executor
+    costs a re-read only.
+    """
+    path = scratch_path(df.sparkSession, name)
+    writer = df.hint("rebalance", *partitions).write.partitionBy(*partitions) if partitions else \
+        df.write
+    writer.parquet(path)
+    return path, df.schema
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that a lost executor costs a re-read only."""
     context = df.sparkSession.sparkContext
