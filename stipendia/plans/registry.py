@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stipendia import session
+from stipendia.ml import models, tuning
 from stipendia.plans import (
     anomaly, benchmark, clean, features, overtime, profile, recipes, scoring, tenure, workforce,
 )
@@ -230,6 +232,58 @@ def _scored(plan, *columns: str) -> Query:
     return at(lambda t: plan(t.predicted, *_actual_and_predicted()).select(*columns))
 
 
+def _splits(t: Tables) -> list[DataFrame]:
+    return [features.split_of(t.training, name) for name in ("train", "valid", "test")]
+
+
+def _evaluated(t: Tables, *kinds: str) -> DataFrame:
+    """Each kind of model trained on the training years and scored on the test year."""
+    train, _, test = _splits(t)
+    setup = models.prepare(train)
+    scores = [setup.evaluate(models.train_model(kind, setup), test)
+              .select(F.lit(kind).alias("model"), "*") for kind in kinds]
+    return reduce(DataFrame.unionByName, scores)
+
+
+def _preprocess(t: Tables) -> DataFrame:
+    """Number of set entries and the standardised numbers of every training record."""
+    train, *_ = _splits(t)
+    setup = models.prepare(train)
+    vector = vector_to_array("features")
+    return setup.preprocessor.transform(train).select(
+        "fiscal_year", "agency_std", "title_std", "base_salary",
+        F.size(F.filter(vector, lambda x: x != 0)).alias("entries_set"),
+        F.size(vector).alias("entries"), *[f"{c}__z" for c in setup.numeric])
+
+
+def _tuned_alphas(t: Tables, k: int = 3) -> DataFrame:
+    train, *_ = _splits(t)
+    setup = models.prepare(train)
+    folded = tuning.folded_cells(setup, train, k)
+    rows = [{"model": kind, **tuning.tune_alpha(kind, setup, folded, k)}
+            for kind in tuning.ALPHA_EXPONENTS]
+    return t.spark.createDataFrame(rows, "model string, best_alpha double, best_cv_r2 double")
+
+
+def _tuned_boosting(t: Tables, k: int = 3) -> DataFrame:
+    train, *_ = _splits(t)
+    best = tuning.tune_boosting(tuning.folded_cells(models.prepare(train), train, k), k)
+    return t.spark.createDataFrame([best])
+
+
+def _cross_validated(t: Tables, k: int = 5) -> DataFrame:
+    train, valid, _ = _splits(t)
+    folded = tuning.folded_cells(models.prepare(train), valid, k)
+    rows = [tuning.cross_validate(kind, folded, k) for kind in models.DEFAULT_ALPHA]
+    return t.spark.createDataFrame(rows, "model string, mean_r2 double, std_r2 double")
+
+
+def _importance(t: Tables) -> DataFrame:
+    setup = models.prepare(_splits(t)[0])
+    model = models.train_model("linear", setup)
+    return models.feature_importance(t.spark, model, setup.training)
+
+
 MODEL_NUMBERS = ["fiscal_year", "tenure_years", "title_frequency", "agency_size",
                  "median_salary_by_title", "median_salary_by_agency", "count_of_job_titles",
                  "current_year"]
@@ -348,6 +402,18 @@ QUERIES: dict[str, Query] = {
     "prediction_interval": _scored(scoring.prediction_interval, *_KEYS, "predicted_log_salary",
                                    "lower_bound", "upper_bound"),
     "error_by_range": _scored(scoring.error_by_range, "salary_range", "records", "mean_error"),
+    # models
+    "preprocess_features": at(_preprocess),
+    "train_linear_family": at(lambda t: _evaluated(t, *models.DEFAULT_ALPHA)),
+    "train_forest": at(lambda t: _evaluated(t, "rf")),
+    "train_gbt": at(lambda t: _evaluated(t, "gbt")),
+    "tune_alpha": at(_tuned_alphas),
+    "tune_gbt": at(_tuned_boosting),
+    "cross_validate": at(_cross_validated),
+    "model_leaderboard": at(lambda t: scoring.leaderboard(
+        _evaluated(t, "linear", "ridge", "lasso", "rf", "gbt"))),
+    "feature_importance": at(_importance),
+    "importance_by_category": at(lambda t: models.importance_by_category(_importance(t))),
     # recipes
     "year_relative_salary": at(lambda t: recipes.year_relative_salary(t.features).select(
         "fiscal_year", "agency_std", "title_std", "base_salary", "salary_vs_year_mean",
