@@ -58,7 +58,7 @@ def _fold_scores(data: DataFrame, k: int, candidates: list, build) -> list[list[
     return [flat[i * k:(i + 1) * k] for i in range(len(candidates))]
 
 
-def tune_alpha(kind: str, setup: models.Setup, folded: DataFrame, k: int) -> dict[str, float]:
+def tune_alpha(kind: str, folded: DataFrame, k: int) -> dict[str, float]:
     """The penalty with the best mean r2 over the folds; refit with models.train_model."""
     grid = alphas(kind)
     wide = models.width(folded)
