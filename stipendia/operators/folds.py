@@ -15,7 +15,7 @@ def contiguous_folds(df: DataFrame, k: int, name: str = "fold") -> DataFrame:
     depend on the data only, never on partitions.
     """
     mark = F.xxhash64(*df.columns)
-    rows = numbered(df, [], F.shiftright(mark, 50), [mark, *map(F.col, df.columns)], "_row")
+    rows = numbered(df, [], F.shiftright(mark, 44), [mark, *map(F.col, df.columns)], "_row")
     row, of = F.col("_row"), F.col("_row_of")
     small, larger = F.floor(of / k), of % k
     in_larger = larger * (small + 1)

@@ -17,15 +17,18 @@ MONEY_STEP = 1000.0
 YEARS_STEP = 1.0
 
 
-def same(left_cols: list[str], prefix: str = "_r_") -> Column:
-    """Null-safe equality of columns with their prefixed twins."""
-    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in left_cols])
-
+def join_on(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", filled: str = ""
+) -> DataFrame:
+    """Equi-join in which a null key meets a null key; the right keys are dropped.
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join in which a null key meets a null key; the right keys are dropped."""
+    `filled` names a key that is never null. Plain equality on it lets a later window over
+    the key use the partitioning of the join.
+    """
     twins = right.select(*[F.col(c).alias("_r_" + c if c in keys else c) for c in right.columns])
-    return left.join(twins, same(keys), how).drop(*["_r_" + k for k in keys])
+    tests = [F.col(k) == F.col("_r_" + k) if k == filled else
+             F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys]
+    return left.join(twins, reduce(Column.__and__, tests), how).drop(*["_r_" + k for k in keys])
 
 
 def fold(frames: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -128,7 +131,7 @@ def numbered(df: DataFrame, keys: list[str], slot: Column, order: list[Column],
     steps = _steps(slotted.withColumn("_n", F.lit(1)), keys)
     inside = Window.partitionBy(*keys, "_step").orderBy(*order)
     return (
-        join_on(slotted, steps, [*keys, "_step"], "inner")
+        join_on(slotted, steps, [*keys, "_step"], "inner", filled="_step")
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
         .withColumnRenamed("_total", name + "_of")
         .drop("_step", "_before", "_in")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipendia.functions.scalars import count_where, money, percent, ratio, true
-from stipendia.operators.ranks import MONEY_STEP, join_on, summarize
+from stipendia.operators.lookup import attach
+from stipendia.operators.ranks import MONEY_STEP, summarize
 from stipendia.schema import EMPLOYEE_ORDER
 
 # Weight of each rule, and priority by score.
@@ -34,7 +35,7 @@ def with_rules(population: DataFrame) -> DataFrame:
     """The four rules as columns; a rule with a missing input does not fire."""
     base, other = F.col("base_salary"), F.col("total_other_pay")
     share = F.col("other_pay_pct")
-    scored = join_on(population, title_thresholds(population), ["title_std"])
+    scored = attach(population, title_thresholds(population), ["title_std"])
     return scored.withColumn("other_pay_pct", ratio(other, base) * 100).withColumns({
         "anomaly_ot_gt_base": true(F.col("total_ot_paid") > base),
         "anomaly_salary_outlier": true(base > F.col("p99")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stipendia.functions.buckets import MODEL_TENURE, bucket
 from stipendia.functions.scalars import clean_text, percent
 from stipendia.operators.histogram import nice_width
+from stipendia.operators.lookup import attach
 from stipendia.operators.ranks import join_on
 from stipendia.plans.features import MIN_TITLE_COUNT, OTHER_TITLE, PAIR
 
@@ -157,7 +158,7 @@ def blended_prediction(df: DataFrame, model: Column, title_history: DataFrame) -
 
     `title_history` has title_std and title_avg_salary.
     """
-    rows = join_on(guarded(df).withColumn("_model", model), title_history, ["title_std"])
+    rows = attach(guarded(df).withColumn("_model", model), title_history, ["title_std"])
     history = F.col("title_avg_salary")
     return rows.withColumns({
         "expected_salary": F.round(blended(F.col("_model"), history), 2),

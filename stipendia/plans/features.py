@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stipendia.functions.buckets import MODEL_TENURE, bucket
 from stipendia.functions.scalars import clean_text, clip, log_salary, title_case, to_double
+from stipendia.operators.lookup import attach
 from stipendia.operators.ranks import MONEY_STEP, join_on, quantiles, summarize
 from stipendia.schema import (
     CATEGORICAL_FEATURES, MAX_BASE_SALARY, MIN_BASE_SALARY, NUMERIC_FEATURES, POPULATION_COLUMNS,
@@ -82,7 +83,7 @@ def cell_features(df: DataFrame) -> DataFrame:
 
 
 def _with_cells(df: DataFrame, *columns: str) -> DataFrame:
-    return join_on(df, cell_features(df).select(*CELL, *columns), CELL, "inner")
+    return attach(df, cell_features(df).select(*CELL, *columns), CELL, "inner")
 
 
 def tenure_proxy(df: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def tenure_proxy(df: DataFrame) -> DataFrame:
         return df.withColumn("tenure_years", F.lit(0))
     first = df.groupBy(*PAIR).agg(F.min("fiscal_year").alias("_first"))
     return (
-        join_on(df, first, PAIR)
+        attach(df, first, PAIR)
         .withColumn("tenure_years", clip(F.col("fiscal_year") - F.col("_first"), 0)).drop("_first")
     )
 

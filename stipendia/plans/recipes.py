@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stipendia.functions import rules
 from stipendia.functions.scalars import percent
+from stipendia.operators.lookup import attach
 from stipendia.operators.ranks import (
     MONEY_STEP, join_on, numbered, quantiles, value_counts, value_positions,
 )
@@ -58,7 +59,7 @@ def stratified_sample(df: DataFrame, strata: list[str], share: float, mark: Colu
 def min_stratum(df: DataFrame, strata: list[str] = STRATUM, least: int = 100) -> DataFrame:
     """Only rows of strata with enough rows."""
     large = df.groupBy(*strata).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return join_on(df, large.drop("_n"), strata, "inner")
+    return attach(df, large.drop("_n"), strata, "inner")
 
 
 def borough_category_cube(df: DataFrame, rare_pct: float = 0.5) -> DataFrame:

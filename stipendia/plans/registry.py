@@ -69,7 +69,7 @@ class Tables:
     def population(self) -> DataFrame:
         return clean.analysis_population(self.raw)
 
-    @property
+    @stage()
     def model(self) -> DataFrame:
         return features.model_population(clean.analysis_population(self.raw, distinct=False))
 

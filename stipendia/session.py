@@ -72,6 +72,12 @@ def staged(df: DataFrame, name: str, *partitions: str) -> tuple[str, StructType]
     return path, df.schema
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table after writing it: its lineage ends at the files, and its size is known."""
+    path, schema = staged(df, name)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that a lost executor costs a re-read only."""
     context = df.sparkSession.sparkContext
