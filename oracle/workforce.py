@@ -104,5 +104,8 @@ QUERIES = {
                {pct('count(*)', '(SELECT count(*) FROM population WHERE NOT hours_tracked)')} AS pct
         FROM population WHERE NOT hours_tracked GROUP BY 1 ORDER BY n DESC, value LIMIT 20"""),
     "clean_payroll": on("clean", shown("clean", *_SHOWN)),
+    "head_sample": on("clean", shown("clean", *_SHOWN) + """
+        ORDER BY first_name, last_name, fiscal_year, base_salary, total_ot_paid, total_other_pay
+        LIMIT 200"""),
     "meaningful_employment": on("population", shown("population", *_SHOWN)),
 }
