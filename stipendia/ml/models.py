@@ -14,6 +14,7 @@ from stipendia.ml.cells import (
 )
 from stipendia.ml.preprocess import FEATURES, feature_names, fit_preprocessor
 from stipendia.plans.features import model_columns
+from stipendia.plans.scoring import score_with_errors
 from stipendia.sources.payroll import load_optional
 
 # Default penalties and model settings.
@@ -101,6 +102,13 @@ def prepare(train: DataFrame, *keep: str) -> Setup:
     return Setup(categorical, numeric, fitted, fitted.transform(data))
 
 
+def predict(pipeline: PipelineModel, rows: DataFrame, year: int | None = None) -> DataFrame:
+    """Salaries for prepared rows, of one year if wanted, with errors where actuals exist."""
+    chosen = rows if year is None else rows.where(F.col("fiscal_year") == year)
+    scored = pipeline.transform(chosen).withColumnRenamed("prediction", "predicted_log_salary")
+    return score_with_errors(scored)
+
+
 def train_model(kind: str, setup: Setup, alpha: float | None = None):
     return estimator(kind, setup.training, alpha).fit(setup.training)
 

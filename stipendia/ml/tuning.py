@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stipendia.ml import models
 from stipendia.ml.cells import cell_r2, label_scale
-from stipendia.operators.folds import contiguous_folds
+from stipendia.operators.folds import contiguous_folds, group_folds
 
 # Exponents of the alpha grids, and the space of boosted trees.
 ALPHA_EXPONENTS = {"ridge": (-3, 3), "lasso": (-5, 1), "elasticnet": (-4, 1)}
@@ -39,6 +39,11 @@ def folded_cells(setup: models.Setup, df: DataFrame, k: int) -> DataFrame:
     return setup.cells(contiguous_folds(df, k), "fold")
 
 
+def group_folded_cells(setup: models.Setup, df: DataFrame, k: int, *group: str) -> DataFrame:
+    """Folds that keep all records of a group together."""
+    return setup.cells(group_folds(df, k, [F.col(g) for g in group]), "fold")
+
+
 def _fold_scores(data: DataFrame, k: int, candidates: list, build) -> list[list[float]]:
     """r2 of every candidate on every fold. Fits are independent jobs and run side by side."""
     def score(task: tuple[int, int]) -> float:

@@ -238,7 +238,7 @@ def _splits(t: Tables) -> list[DataFrame]:
 
 # Fitted preprocessing and scores per folder: a model is trained once per application.
 _FITTED: dict[tuple[str, str], models.Setup] = {}
-_SCORES: dict[tuple[str, str, str], Row] = {}
+_SCORES: dict[tuple, Row] = {}
 
 
 def _key(t: Tables) -> tuple[str, str]:
@@ -251,13 +251,14 @@ def _setup(t: Tables) -> models.Setup:
     return _FITTED[_key(t)]
 
 
-def _evaluated(t: Tables, *kinds: str) -> DataFrame:
+def _evaluated(t: Tables, *kinds: str, alphas: dict[str, float] | None = None) -> DataFrame:
     """Each kind of model trained on the training years and scored on the test year."""
     rows = []
     for kind in kinds:
-        key = (*_key(t), kind)
+        alpha = (alphas or {}).get(kind)
+        key = (*_key(t), kind, alpha)
         if key not in _SCORES:
-            model = models.train_model(kind, _setup(t))
+            model = models.train_model(kind, _setup(t), alpha)
             _SCORES[key] = _setup(t).evaluate(model, _splits(t)[2]).first()
         rows.append({"model": kind, **_SCORES[key].asDict()})
     return t.spark.createDataFrame(
@@ -285,6 +286,20 @@ def _tuned_boosting(t: Tables, k: int = 3) -> DataFrame:
     return t.spark.createDataFrame([tuning.tune_boosting(folded, k)])
 
 
+def _leaderboard(t: Tables, k: int = 3) -> DataFrame:
+    """The five models, ridge and lasso with tuned penalties, best on the test year first."""
+    folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
+    alphas = {kind: tuning.tune_alpha(kind, folded, k)["best_alpha"] for kind in ("ridge", "lasso")}
+    return scoring.leaderboard(
+        _evaluated(t, "linear", "ridge", "lasso", "rf", "gbt", alphas=alphas))
+
+
+def _group_validated(t: Tables, k: int = 5) -> DataFrame:
+    folded = tuning.group_folded_cells(_setup(t), _splits(t)[1], k, *recipes.STRATUM)
+    rows = [tuning.cross_validate(kind, folded, k) for kind in ("ridge", "lasso")]
+    return t.spark.createDataFrame(rows, "model string, mean_r2 double, std_r2 double")
+
+
 def _cross_validated(t: Tables, k: int = 5) -> DataFrame:
     folded = tuning.folded_cells(_setup(t), _splits(t)[1], k)
     rows = [tuning.cross_validate(kind, folded, k) for kind in models.DEFAULT_ALPHA]
@@ -422,8 +437,8 @@ QUERIES: dict[str, Query] = {
     "tune_alpha": at(_tuned_alphas),
     "tune_gbt": at(_tuned_boosting),
     "cross_validate": at(_cross_validated),
-    "model_leaderboard": at(lambda t: scoring.leaderboard(
-        _evaluated(t, "linear", "ridge", "lasso", "rf", "gbt"))),
+    "group_cross_validate": at(_group_validated),
+    "model_leaderboard": at(_leaderboard),
     "feature_importance": at(_importance),
     "importance_by_category": at(lambda t: models.importance_by_category(_importance(t))),
     # recipes
