@@ -15,7 +15,7 @@ from statistics import median
 from stipendia import session
 from stipendia.plans.registry import QUERIES, Tables
 
-STAGES = ["standard", "population", "model", "features", "reference", "panel"]
+STAGES = ["raw", "standard", "population", "model", "features", "reference", "panel"]
 HEADLINE = [
     "dedup_report", "numeric_profile", "cardinality_profile", "top_values", "workforce_trend",
     "standardization_effect", "segment_profile", "ot_overview", "ot_by_agency", "ot_brackets",

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +24,7 @@ _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 def stage(*partitions: str):
     """A table that is written to the shared folder when first asked for, and then read.
 
-    These are the files that programs of a payroll pipeline hand to each other: the standard
+    These are the files that programs of a payroll pipeline hand to each other: raw and standard
     records, the analysis population, features, reference table and yearly panel. They are
     built once per application; all queries start from them.
     """
@@ -49,7 +47,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = session.tune(spark), folder
 
-    @cached_property
+    @stage()
     def raw(self) -> DataFrame:
         return starschema.payroll_raw(self.spark, self.folder)
 
