@@ -34,25 +34,6 @@ SPAN = GRAM + WINDOW - 1
 FILTER_BITS = 1 << 23
 
 
-def fingerprints(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs kept by winnowing; ties keep the rightmost."""
-    first, hashes = words.grams(GRAM)
-    if len(first) < WINDOW:
-        return first[:0], hashes[:0]
-    kept = np.zeros(len(first), bool)
-    span = first[:len(first) - WINDOW + 1]
-    whole = words.text[first[WINDOW - 1:]] == words.text[span]
-    whole &= first[WINDOW - 1:] - span == WINDOW - 1
-    at = np.flatnonzero(whole)
-    best, where = hashes[at + WINDOW - 1].copy(), at + WINDOW - 1
-    for step in range(WINDOW - 2, -1, -1):
-        lower = hashes[at + step] < best
-        best[lower] = hashes[at + step][lower]
-        where = np.where(lower, at + step, where)
-    kept[where] = True
-    return first[kept], hashes[kept]
-
-
 def item_windows(benchmark: DataFrame, id_column: str, text: str) -> DataFrame:
     """One row for each item and different window: its words, their number, hash, prints.
 
@@ -83,7 +64,7 @@ def prints(windows: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in W.slices(batches, "span", 1 << 20):
             words = W.split(texts, W.ALPHANUMERIC)
-            _, long = fingerprints(words)
+            _, long = W.winnowed(words, GRAM, WINDOW)
             found, counts = [long], words.counts()
             for n in range(1, SPAN):
                 first, keys = words.grams(n)
@@ -119,7 +100,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFra
         for part, texts in W.slices(batches, "_text"):
             words = W.split(texts.folded(), W.ALPHANUMERIC)
             firsts = words.firsts()
-            at, keys = fingerprints(words)
+            at, keys = W.winnowed(words, GRAM, WINDOW)
             hit = at[maybe(keys)]
             around = (hit[:, None] - np.arange(WINDOW)).ravel()
             owner = np.repeat(words.text[hit], WINDOW)

@@ -70,4 +70,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM g
 """
 
-QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5}
+OP7 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACE_WORDS}) w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS span
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) i
+              FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT md5(span) AS k, min(doc_id) AS low, max(doc_id) AS high FROM win GROUP BY 1),
+late AS (SELECT win.doc_id, win.i FROM win JOIN firsts ON md5(win.span) = firsts.k
+         WHERE low < high AND win.doc_id > low),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM late),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+left_over AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+    CASE WHEN ps IS NULL THEN w ELSE
+      list_filter(list_transform(generate_series(1, len(w)),
+        lambda j: CASE WHEN list_contains(ps, j) THEN NULL ELSE w[j] END), lambda x: x IS NOT NULL)
+    END AS kept FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM left_over
+"""
+
+QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipendia.llm import decontamination, quality_rules
+from stipendia.llm import decontamination, quality_rules, substring_dedup
 from stipendia.llm.tables import table
 
 
@@ -24,7 +24,12 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                         "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
 }

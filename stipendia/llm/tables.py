@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -43,7 +44,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table after writing it to the shared folder; a lost executor costs a re-read."""
-    return session.written(df, f"llm-{name}")
+    out = session.written(df, f"llm-{name}")
+    free(df.sparkSession)
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def identified(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -210,3 +210,54 @@ def code_points(data: np.ndarray) -> np.ndarray:
 def per_text(words: Words, values: np.ndarray) -> np.ndarray:
     """Sum by text of a value per word."""
     return np.bincount(words.text, weights=values, minlength=len(words.texts)).astype(np.int64)
+
+
+def sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest or largest of every `width` neighbours, in about log2(width) passes."""
+    out, size = values, 1
+    while size * 2 <= width:
+        out = best(out[:-size], out[size:])
+        size *= 2
+    rest = width - size
+    return best(out[:-rest], out[rest:]) if rest else out
+
+
+def winnowed(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the word runs that are smallest in a window of neighbouring runs.
+
+    Any gram + window - 1 consecutive words of a text hold at least one of them. Shorter texts
+    have none. All runs of a tie are kept.
+    """
+    span = gram + window - 1
+    if len(words) < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first, hashes = words.grams(gram)
+    dense = np.full(len(words) - gram + 1, np.iinfo(np.uint64).max)
+    dense[first] = hashes
+    least = sliding(np.minimum, dense, window)
+    least[words.text[:len(least)] != words.text[span - 1:]] = 0
+    padded = np.concatenate([np.zeros(window - 1, np.uint64), least,
+                             np.zeros(window - 1, np.uint64)])
+    kept = np.flatnonzero(sliding(np.maximum, padded, window)[:len(dense)] == dense)
+    kept = kept[words.text[kept] == words.text[kept + gram - 1]]
+    return kept, dense[kept]
+
+
+def compact(words: Words, kept: np.ndarray) -> Texts:
+    """The kept words of each text with one space between them."""
+    chosen = np.flatnonzero(kept)
+    owner = words.text[chosen]
+    more = np.zeros(len(chosen), bool)
+    more[:-1] = owner[1:] == owner[:-1]
+    sizes = words.ends[chosen] - words.starts[chosen] + more
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    source = np.repeat(words.starts[chosen] - ends[:-1], sizes) + np.arange(ends[-1])
+    data = np.append(words.texts.data, np.uint8(0x20))[source]
+    data[ends[1:][more] - 1] = 0x20
+    counts = np.bincount(owner, minlength=len(words.texts))
+    return Texts(data, ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def pieces(texts: Texts) -> list[bytes]:
+    raw = texts.data.tobytes()
+    return [raw[a:b] for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist())]
