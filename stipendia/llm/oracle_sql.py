@@ -89,4 +89,26 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
        sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM left_over
 """
 
-QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
+OP8 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({FOLDED.format("coalesce(text, '')")}, {SPACE_WORDS}) w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) i
+            FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+           FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+         WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS seen FROM both_ways
+          UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id
+"""
+
+QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op7_substring_dedup": OP7,
+           "op8_minhash": OP8}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipendia.llm import decontamination, quality_rules, substring_dedup
-from stipendia.llm.tables import table
+from stipendia.llm import decontamination, minhash, quality_rules, substring_dedup
+from stipendia.llm.tables import given_id, table
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,8 +28,14 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(table(spark, folder, "documents"))
 
 
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.groups(table(spark, folder, "documents"), width=2).select(
+        "doc_id", "n_shingles", given_id("component").alias("component_id"), "kept")
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_minhash": op8_minhash,
 }
