@@ -110,5 +110,25 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id
 """
 
+OP10 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+                  string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS w
+        FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) i FROM d WHERE len(l) >= 3)
+        WHERE regexp_matches(w, '[^\x20\x09-\x0D]')),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (
+           PARTITION BY w ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 2)) AS line FROM late),
+each AS (SELECT doc_id, i, l[i] AS line
+         FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) i FROM d)),
+kept AS (SELECT e.doc_id, count(g.line) AS n_removed,
+                string_agg(CASE WHEN g.line IS NULL THEN e.line END, chr(10) ORDER BY e.i) AS text
+         FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.line = e.i GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(CASE WHEN d.text = '' THEN 0 ELSE len(l) END AS BIGINT) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op7_substring_dedup": OP7,
-           "op8_minhash": OP8}
+           "op8_minhash": OP8, "op10_line_dedup": OP10}

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipendia.llm import decontamination, minhash, quality_rules, substring_dedup
+from stipendia.llm import (
+    decontamination, line_dedup, minhash, quality_rules, substring_dedup, token_output,
+)
 from stipendia.llm.tables import given_id, table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END = 1
+
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(
@@ -18,6 +24,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    stored = token_output.write(table(spark, folder, "documents"), TOKENIZER, END)
+    return token_output.read(spark, stored, summary=True)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.judged(quality_rules.measured(table(spark, folder, "documents")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -33,9 +44,18 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", given_id("component").alias("component_id"), "kept")
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs, counted=True).select(
+        "doc_id", "n_lines", "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_token_output": op3_token_output,
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
+    "op10_line_dedup": op10_line_dedup,
 }
