@@ -130,5 +130,42 @@ SELECT d.doc_id, CAST(CASE WHEN d.text = '' THEN 0 ELSE len(l) END AS BIGINT) AS
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang,
+  CASE WHEN contains(b, ' | ') THEN 'table' WHEN regexp_matches(b, '(?i)licen[sc]e') THEN 'legal'
+       WHEN regexp_matches(b, '[0-9]{2}') THEN 'figures' ELSE 'prose' END AS topic,
+  len(regexp_extract_all(b, '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS b FROM documents)),
+cell AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS t0 FROM cell GROUP BY 1),
+l AS (SELECT lang, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS t1 FROM cell GROUP BY 1),
+t AS (SELECT topic, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS t2 FROM cell GROUP BY 1),
+start AS (SELECT source, lang, topic, tokens, t0, t1, t2, tokens AS weight
+          FROM cell JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)),
+rake AS (
+  SELECT 0 AS k, source, lang, topic, tokens, t0, t1, t2, weight FROM start
+  UNION ALL
+  SELECT k + 1, source, lang, topic, tokens, t0, t1, t2,
+         w2 * t2 / sum(w2) OVER (PARTITION BY topic) FROM
+   (SELECT *, w1 * t1 / sum(w1) OVER (PARTITION BY lang) AS w2 FROM
+     (SELECT *, weight * t0 / sum(weight) OVER (PARTITION BY source) AS w1
+      FROM rake WHERE k < 40))),
+f AS (SELECT source, lang, topic, tokens, weight / tokens AS factor FROM rake WHERE k = 40 AND tokens > 0),
+scale AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS v UNION ALL
+  SELECT k + 1, (0.5 * t - held) / rest FROM
+   (SELECT scale.k, sum(tokens) AS t,
+      sum(CASE WHEN factor * v >= 1 THEN tokens ELSE 0 END) AS held,
+      sum(CASE WHEN factor * v >= 1 THEN 0 ELSE tokens * factor END) AS rest
+    FROM f, scale WHERE scale.k < 60 GROUP BY scale.k, scale.v)),
+p AS (SELECT source, lang, topic, round(least(1.0, factor * v), 12) AS p
+      FROM f, scale WHERE k = 60)
+SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens,
+  round(coalesce(p, 1.0), 6) AS probability,
+  CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0
+    < coalesce(p, 1.0) AS kept
+FROM d LEFT JOIN p USING (source, lang, topic)
+"""
+
 QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op7_substring_dedup": OP7,
-           "op8_minhash": OP8, "op10_line_dedup": OP10}
+           "op8_minhash": OP8, "op9_mixing": OP9,
+           "op10_line_dedup": OP10}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipendia.llm import (
-    decontamination, line_dedup, minhash, quality_rules, substring_dedup, token_output,
+    decontamination, line_dedup, minhash, mixing, quality_rules, substring_dedup, token_output,
 )
 from stipendia.llm.tables import given_id, table
 
@@ -44,6 +44,14 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", given_id("component").alias("component_id"), "kept")
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mixed(docs).select(
+        F.col("c0").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.deduplicated(docs, counted=True).select(
@@ -57,5 +65,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
+    "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
