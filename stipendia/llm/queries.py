@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipendia.llm import (
-    decontamination, line_dedup, minhash, mixing, quality_rules, substring_dedup, token_output,
+    decontamination, line_dedup, minhash, mixing, pii, quality_rules, substring_dedup, token_output,
 )
 from stipendia.llm.tables import given_id, table
 
@@ -15,6 +15,12 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.listed(table(spark, folder, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -60,6 +66,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_token_output": op3_token_output,
     "op5_quality_rules": op5_quality_rules,
