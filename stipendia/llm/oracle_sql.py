@@ -40,6 +40,15 @@ r{n} AS (SELECT doc_id, count(*) AS words, sum(chars) AS chars FROM
                FROM d WHERE len(w) >= {n}))) WHERE c > 1) s
           ON t.doc_id = s.doc_id AND t.i BETWEEN s.i AND s.i + {n} - 1) GROUP BY doc_id)"""
 
+OP4 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS low FROM p WHERE octet_length(b) >= 100 GROUP BY d)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN low < page_id THEN low END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), {SPACE_WORDS}) w FROM documents),
@@ -166,6 +175,6 @@ SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens,
 FROM d LEFT JOIN p USING (source, lang, topic)
 """
 
-QUERIES = {"op2_decontamination": OP2, "op5_quality_rules": OP5, "op7_substring_dedup": OP7,
+QUERIES = {"op2_decontamination": OP2, "op4_warc": OP4, "op5_quality_rules": OP5, "op7_substring_dedup": OP7,
            "op8_minhash": OP8, "op9_mixing": OP9,
            "op10_line_dedup": OP10}

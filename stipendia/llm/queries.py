@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipendia.llm import (
-    decontamination, line_dedup, minhash, mixing, pii, quality_rules, substring_dedup, token_output,
+    decontamination, line_dedup, minhash, mixing, pii, quality_rules, substring_dedup, token_output, warc,
 )
 from stipendia.llm.tables import given_id, table
 
@@ -35,6 +35,11 @@ def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.read(spark, stored, summary=True)
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write(table(spark, folder, "pages"))
+    return warc.summary(warc.records(warc.index(archives)))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.judged(quality_rules.measured(table(spark, folder, "documents")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_token_output": op3_token_output,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
