@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipendia.llm import (
-    decontamination, line_dedup, minhash, mixing, pii, quality_rules, substring_dedup, token_output, warc,
+    decontamination, line_dedup, minhash, mixing, neighbours, pii, quality_rules,
+    substring_dedup, token_output, warc,
 )
 from stipendia.llm.tables import given_id, table
 
@@ -46,6 +47,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                         "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return neighbours.scored(docs, neighbours.fitted(docs, table(spark, folder, "labels")))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(table(spark, folder, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,

@@ -4,14 +4,16 @@ A word is removed if a run of SPAN words around it also starts in a document of
 The reference is the corpus itself, so one automaton of everything, sent to everybody, would grow
 with the input squared. Instead:
 
+0. Documents of SPAN words or more with equal words are one: the smallest id goes on, and all words of
+   the others start there too, so they are removed.
 1. Winnowing gives each text of SPAN words or more fingerprints such that any SPAN words hold
    one. Fingerprints are counted; a document without a repeated one ends here, unchanged.
 2. In the others, runs of SPAN words around repeated fingerprints are hashed, and for each hash
-   its first place is found: the smallest document, and the first word there.
-3. First places of repeated runs, stitched together, are the reference passages. A shard is the
-   passages of one document, cut every SHARD runs. Passages of later documents go to the shard that
-   holds their first place; where many go to one shard, they are dealt over several tasks and
-   only this bounded shard is sent to each of them.
+   its owner is found: the smallest document that has it.
+3. Repeated runs of an owner, stitched together, are the reference passages. A shard is the
+   passages of one owner, cut every SHARD runs. Passages of later documents go to all shards of
+   their owner, nearly always one; where many go to one shard, they are dealt over several
+   tasks and only this bounded shard is sent to each of them.
 4. Each task builds the shard's suffix automaton over words and streams the passages through it.
    Stretches whose matching statistic reaches SPAN are removed. Words are compared as words, so
    a collision of hashes never removes anything.
@@ -65,9 +67,9 @@ def base_rows(docs: DataFrame, span: int) -> DataFrame:
                                  "prints array<bigint>")
 
 
-def suspects(docs: DataFrame, base: DataFrame) -> DataFrame:
+def suspects(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """Documents that share a fingerprint with another one: text and those fingerprints."""
-    posted = base.select("_id", "_sum", F.explode("prints").alias("print"))
+    posted = heads.select("_id", "_sum", F.explode("prints").alias("print"))
     repeated = posted.groupBy("print").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
     shared = posted.join(repeated.where("low < high").select("print"), "print", "left_semi")
     listed = shared.groupBy("_id", "_sum").agg(F.collect_set("print").alias("prints"))
@@ -95,39 +97,37 @@ def listed(column: pa.Array) -> list[np.ndarray]:
 
 
 def run_rows(found: DataFrame, span: int) -> DataFrame:
-    """The different runs of each document with their first place in it."""
+    """The different runs of each document."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in W.slices(batches, "_text"):
             words = W.split(texts, W.NON_SPACE)
             first, keys = runs(words, listed(part.column("prints")), span)
             owner = words.text[first]
             _, one = np.unique(W.mixed(keys + owner.astype(np.uint64)), return_index=True)
-            owner, first, keys = owner[one], first[one], keys[one]
+            one.sort()
             yield pa.RecordBatch.from_arrays([
-                part.column("_id").take(pa.array(owner)),
-                part.column("_sum").take(pa.array(owner)),
-                pa.array(keys.view(np.int64)), pa.array(first - words.firsts()[owner])],
-                names=["_id", "_sum", "run", "at"])
+                part.column("_id").take(pa.array(owner[one])),
+                part.column("_sum").take(pa.array(owner[one])),
+                pa.array(keys[one].view(np.int64))], names=["_id", "_sum", "run"])
 
     return found.select("_id", "_sum", "_text", "prints").mapInArrow(
-        rows, "_id bigint, _sum bigint, run bigint, at bigint")
+        rows, "_id bigint, _sum bigint, run bigint")
 
 
 def passages(found: DataFrame, span: int, shard: int) -> DataFrame:
-    """Passages of repeated runs with the shard they belong to; role 0 is reference.
+    """Passages of repeated runs with their owner; role 0 is reference and has its piece.
 
-    `found` has for each document the lists runs, owners and places: repeated runs and the
-    first place of each in the corpus.
+    `found` has for each document the lists runs and owners: repeated runs and their owner.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in W.slices(batches, "_text"):
             words = W.split(texts, W.NON_SPACE)
-            lists = [listed(part.column(c)) for c in ("runs", "owners", "places")]
+            lists = [listed(part.column(c)) for c in ("runs", "owners")]
             first, keys = runs(words, listed(part.column("prints")), span)
-            owner, begin = words.text[first], words.firsts()
+            number, begin = words.text[first], words.firsts()
             ids, sums = part.column("_id").to_pylist(), part.column("_sum").to_pylist()
             out = []
-            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+            cuts = np.searchsorted(number, np.arange(len(texts) + 1))
             for n in range(len(texts)):
                 mine = slice(cuts[n], cuts[n + 1])
                 order = np.argsort(lists[0][n])
@@ -136,10 +136,12 @@ def passages(found: DataFrame, span: int, shard: int) -> DataFrame:
                     continue
                 key = keys[mine].view(np.int64)
                 where = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                at = first[mine] - begin[n]
-                home, place = lists[1][n][order][where], lists[2][n][order][where]
-                use = (known[where] == key) & ((home != ids[n]) | (place == at))
-                at, home, piece = at[use], home[use], place[use] // shard
+                at, home = first[mine] - begin[n], lists[1][n][order][where]
+                own = home == ids[n]
+                new = np.zeros(len(key), bool)
+                new[np.unique(key, return_index=True)[1]] = True
+                use = (known[where] == key) & (~own | new)
+                at, home, piece = at[use], home[use], np.where(own, at // shard, 0)[use]
                 if not len(at):
                     continue
                 breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(home) != 0)
@@ -162,15 +164,24 @@ PASSAGE = ["owner", "piece", "role", "_id", "_sum", "at", "size", "body"]
 
 
 def dealt(found: DataFrame) -> DataFrame:
-    """Passages by shard; a shard that many passages go to is sent to several tasks."""
-    sizes = found.where("role = 1").groupBy("owner", "piece").agg(F.sum("size").alias("total"))
-    crowded = sizes.where(F.col("total") > TASK_WORDS).select(
-        "owner", "piece", F.expr(f"total div {TASK_WORDS} + 1").alias("tasks"))
-    both = found.join(crowded, ["owner", "piece"], "left")
+    """Passages by shard; those of later documents go to every piece of their owner.
+
+    A shard that many passages go to is sent to several tasks.
+    """
+    owned = found.where("role = 0").select("owner", "piece").distinct()
+    many = owned.where("piece > 0").select("owner").distinct()
+    pieces = owned.join(many, "owner", "left_semi").groupBy("owner").agg(
+        F.collect_list("piece").alias("pieces"))
+    crowded = found.where("role = 1").groupBy("owner").agg(F.sum("size").alias("total")).where(
+        F.col("total") > TASK_WORDS).select("owner", F.expr(f"total div {TASK_WORDS} + 1").alias("tasks"))
+    both = found.join(crowded, "owner", "left").join(pieces, "owner", "left")
     tasks = F.coalesce("tasks", F.lit(1))
+    goes = F.when((F.col("role") == 1) & F.col("pieces").isNotNull(), F.col("pieces")).otherwise(
+        F.array("piece"))
     salts = F.when(F.col("role") == 0, F.sequence(F.lit(0), tasks.cast("int") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("_id", "_sum", "at"), tasks).cast("int")))
-    return both.withColumn("salt", F.explode(salts)).drop("tasks").repartition(
+    spread = both.withColumn("salt", F.explode(salts)).withColumn("piece", F.explode(goes))
+    return spread.drop("tasks", "pieces").repartition(
         "owner", "piece", "salt").sortWithinPartitions("owner", "piece", "salt", "role")
 
 
@@ -225,22 +236,28 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
     """Two tables: every row's _id, _sum, n_words and digest; what is left of changed documents."""
     plain = identified(docs, id_column, text)
     base = written(base_rows(plain, span), "digests")
-    found = written(suspects(plain, base).dropDuplicates(["_id", "_sum"]), "suspects")
+    long = base.where(F.col("n_words") >= span)
+    equal = long.groupBy("digest").agg(F.min("_id").alias("first"))
+    heads = long.join(equal, "digest").where("_id = first").select("_id", "_sum", "prints")
+    copies = long.select("_id", "_sum", "n_words", "digest").join(equal, "digest").where(
+        "_id > first").select("_id", "_sum", F.col("n_words").alias("n_removed"),
+                              F.lit("").alias("kept")).dropDuplicates(["_id", "_sum"])
+
+    found = written(suspects(plain, heads).dropDuplicates(["_id", "_sum"]), "suspects")
     posted = run_rows(found, span)
-    first = posted.groupBy("run").agg(
-        F.min("_id").alias("owner"), F.min_by("at", "_id").alias("place"),
-        F.max("_id").alias("last")).where("owner < last").drop("last")
-    homes = posted.select("_id", "_sum", "run").join(first, "run").groupBy("_id", "_sum").agg(
-        F.collect_list(F.struct("run", "owner", "place")).alias("h")).select(
-        "_id", "_sum", F.col("h.run").alias("runs"), F.col("h.owner").alias("owners"),
-        F.col("h.place").alias("places"))
+    owners = posted.groupBy("run").agg(
+        F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").drop("last")
+    homes = posted.join(owners, "run").groupBy("_id", "_sum").agg(
+        F.collect_list(F.struct("run", "owner")).alias("h")).select(
+        "_id", "_sum", F.col("h.run").alias("runs"), F.col("h.owner").alias("owners"))
+    homes = written(homes, "owners")
     parts = written(passages(found.join(homes, ["_id", "_sum"]), span, shard), "passages")
     spans = matched(dealt(parts), span).groupBy("_id", "_sum").agg(
         F.collect_list(F.struct("start", "stop")).alias("s")).select(
         "_id", "_sum", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
-    changed = written(cut(found.select("_id", "_sum", "_text").join(spans, ["_id", "_sum"])),
-                      "changed")
-    return base.select("_id", "_sum", "n_words", "digest"), changed
+    changed = cut(found.select("_id", "_sum", "_text").join(spans, ["_id", "_sum"]))
+    return base.select("_id", "_sum", "n_words", "digest"), written(
+        changed.unionByName(copies), "changed")
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id", text: str = "text",

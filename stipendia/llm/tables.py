@@ -44,8 +44,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table after writing it to the shared folder; a lost executor costs a re-read."""
+    spark = df.sparkSession
     out = session.written(df, f"llm-{name}")
-    free(df.sparkSession)
+    del df
+    free(spark)
     return out
 
 
