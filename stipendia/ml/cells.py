@@ -17,7 +17,6 @@ from stipendia.session import durable
 
 TARGET = "log_base_salary"
 COUNT, MEAN, SUM, SQUARES = "_count", "_mean", "_sum", "_squares"
-CELLS_PER_TASK = 20_000
 
 
 def prepared(df: DataFrame, categorical: list[str], numeric: list[str], *keep: str) -> DataFrame:
@@ -36,9 +35,7 @@ def cells(df: DataFrame, categorical: list[str], numeric: list[str], *keep: str)
         *keep, *categorical, *numeric)
     sums = grouped.agg(F.count("*").cast("double").alias(COUNT), F.sum(y).alias(SUM),
                        F.sum(y * y).alias(SQUARES))
-    stored = durable(sums.withColumn(MEAN, F.col(SUM) / F.col(COUNT)))
-    # Solvers pass over the cells hundreds of times, so tasks should not be tiny.
-    return stored.coalesce(stored.count() // CELLS_PER_TASK + 1)
+    return durable(sums.withColumn(MEAN, F.col(SUM) / F.col(COUNT)))
 
 
 def outcomes(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:

@@ -22,35 +22,34 @@ DEFAULT_ALPHA = {"linear": 0.0, "ridge": 1.0, "lasso": 0.001, "elasticnet": 0.00
 L1_SHARE = {"linear": 0.0, "ridge": 0.0, "lasso": 1.0, "elasticnet": 0.5}
 FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 42}
 MIN_SPLIT_ROWS = 50
-MAX_NORMAL_FEATURES = 4096
 BOOSTING = {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "seed": 42}
 COLUMNS = {"featuresCol": FEATURES, "labelCol": MEAN, "weightCol": COUNT}
 
 
-def linear(kind: str, alpha: float, scale: Scale, width: int) -> LinearRegression:
+def linear(kind: str, alpha: float, scale: Scale) -> LinearRegression:
     """A linear model with a penalty given as in least squares on n records.
 
     Ridge adds alpha * |w|^2 to the sum of squares; lasso and elastic net add their penalty
-    to half the mean of squares. Up to 4096 features one pass over the data collects the
-    normal equations; beyond that the solver iterates. Each divides the squared part of the
-    penalty by its own form of the label's deviation.
+    to half the mean of squares. The solver iterates at every width, so nothing that grows
+    with the square of the features is gathered. It divides the squared part of the penalty by the
+    sample deviation of the label.
     """
-    normal = width <= MAX_NORMAL_FEATURES
-    deviation = scale.population if normal else scale.sample
     if kind == "ridge":
-        absolute, squared = 0.0, alpha * deviation / scale.rows
+        absolute, squared = 0.0, alpha * scale.sample / scale.rows
     else:
         absolute = alpha * L1_SHARE[kind]
-        squared = alpha * (1 - L1_SHARE[kind]) * deviation
+        squared = alpha * (1 - L1_SHARE[kind]) * scale.sample
     total = absolute + squared
     return LinearRegression(
-        solver="normal" if normal else "l-bfgs", standardization=False, maxIter=1000, tol=1e-7,
+        solver="l-bfgs", standardization=False, maxIter=1000, tol=1e-9,
         regParam=total, elasticNetParam=absolute / total if total else 0.0, **COLUMNS)
 
 
 def forest(rows: float) -> RandomForestRegressor:
     """Splits need 50 records, so a leaf gets at least about half of that."""
-    share = min(MIN_SPLIT_ROWS / 2 / rows, 0.49)
+    if rows <= MIN_SPLIT_ROWS:
+        raise ValueError(f"a forest needs more than {MIN_SPLIT_ROWS} records, not {rows:.0f}")
+    share = MIN_SPLIT_ROWS / 2 / rows
     return RandomForestRegressor(featureSubsetStrategy="all", minWeightFractionPerNode=share,
                                  **COLUMNS, **FOREST)
 
@@ -66,11 +65,7 @@ def estimator(kind: str, data: DataFrame, alpha: float | None = None):
     scale = label_scale(data)
     if kind == "rf":
         return forest(scale.rows)
-    return linear(kind, DEFAULT_ALPHA[kind] if alpha is None else alpha, scale, width(data))
-
-
-def width(transformed: DataFrame) -> int:
-    return transformed.schema[FEATURES].metadata["ml_attr"]["num_attrs"]
+    return linear(kind, DEFAULT_ALPHA[kind] if alpha is None else alpha, scale)
 
 
 @dataclass

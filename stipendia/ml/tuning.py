@@ -66,9 +66,8 @@ def _fold_scores(data: DataFrame, k: int, candidates: list, build) -> list[list[
 def tune_alpha(kind: str, folded: DataFrame, k: int) -> dict[str, float]:
     """The penalty with the best mean r2 over the folds; refit with models.train_model."""
     grid = alphas(kind)
-    wide = models.width(folded)
     scores = _fold_scores(folded, k, grid, lambda alpha, _, scale: models.linear(
-        kind, alpha, scale, wide))
+        kind, alpha, scale))
     means = [fmean(s) for s in scores]
     best = max(range(len(grid)), key=means.__getitem__)
     return {"best_alpha": grid[best], "best_cv_r2": means[best]}
