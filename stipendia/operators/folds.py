@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stipendia.operators.ranks import numbered
+from stipendia.operators.ranks import labelled, row_mark
 
 
 def contiguous_folds(df: DataFrame, k: int, name: str = "fold") -> DataFrame:
     """k contiguous folds whose sizes differ by at most one, larger folds first.
 
-    The fixed order is a hash of the whole row, ties broken by the row itself, so the folds
-    depend on the data only, never on partitions.
+    The fixed order is a digest of the whole row, ties broken by the row itself, so the
+    folds depend on the data only, never on partitions.
     """
-    mark = F.xxhash64(*df.columns)
-    rows = numbered(df, [], F.shiftright(mark, 44), [mark, *map(F.col, df.columns)], "_row")
-    row, of = F.col("_row"), F.col("_row_of")
-    small, larger = F.floor(of / k), of % k
-    in_larger = larger * (small + 1)
-    fold = F.when(row < in_larger, F.floor(F.try_divide(row, small + 1))).otherwise(
-        larger + F.floor(F.try_divide(row - in_larger, small))
-    )
-    return rows.withColumn(name, fold.cast("int")).drop("_row", "_row_of")
+    def fold(row: Column, total: Column) -> Column:
+        small, larger = F.floor(total / k), total % k
+        in_larger = larger * (small + 1)
+        return F.when(row < in_larger, F.floor(F.try_divide(row, small + 1))).otherwise(
+            larger + F.floor(F.try_divide(row - in_larger, small))).cast("int")
+
+    return labelled(df, [], row_mark(df.columns), fold, name)
 
 
 def group_folds(df: DataFrame, k: int, group: list[Column], name: str = "fold") -> DataFrame:

@@ -32,8 +32,7 @@ def histogram(counts: DataFrame, keys: list[str], bins: int | None, step: float)
         stats = fold([stats, quartiles], keys).withColumn("_bins", auto_bins())
     else:
         stats = stats.withColumn("_bins", F.lit(bins).cast("long"))
-    # One row per group of columns: a handful, whatever the number of values.
-    placed = join_on(counts, F.broadcast(stats), keys, "inner")
+    placed = join_on(counts, stats, keys, "inner")
     span = F.col("_high") - F.col("_low")
     place = F.floor(F.try_divide((F.col("_v") - F.col("_low")) * F.col("_bins"), span))
     last = F.col("_bins") - 1

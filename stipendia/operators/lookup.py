@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from stipendia.operators.ranks import join_on
-from stipendia.session import written
 
 
 def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join records to an aggregate whose size is known before the join is planned.
+    """Join records to an aggregate of them; building the plan starts no job.
 
-    The aggregate is written first. From the size of its files Spark decides: a small one is
-    broadcast, so the records are not shuffled at all; a large one is joined by sort-merge,
-    where adaptive execution splits hot keys.
+    Adaptive execution knows the aggregate's size when it is made: a small one is broadcast; for a
+    large one it splits hot keys.
     """
-    return join_on(df, written(lookup, "lookup"), keys, how)
+    return join_on(df, lookup, keys, how)

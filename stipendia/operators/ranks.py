@@ -22,9 +22,11 @@ def join_on(
 ) -> DataFrame:
     """Equi-join in which a null key meets a null key; the right keys are dropped.
 
-    `filled` names a key that is never null. Plain equality on it lets a later window over
-    the key use the partitioning of the join.
+    `filled` names a key that is never null, which takes a plain equality. Without keys the right side must
+    be one row.
     """
+    if not keys:
+        return left.crossJoin(right)
     twins = right.select(*[F.col(c).alias("_r_" + c if c in keys else c) for c in right.columns])
     tests = [F.col(k) == F.col("_r_" + k) if k == filled else
              F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys]
@@ -103,6 +105,18 @@ def quantiles_of_counts(
     return _positions(stepped, needed, keys).groupBy(*keys).agg(*out)
 
 
+def moments_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """count, mean, std (sample), min and max of (value, count) rows."""
+    v, n = F.col("_v"), F.col("_n")
+    total = F.sum(n)
+    mean = F.sum(n * v) / total
+    squares = F.sum(n * v * v) - total * mean * mean
+    spread = F.when(total > 1, F.sqrt(F.greatest(F.try_divide(squares, total - 1), F.lit(0.0))))
+    return counts.groupBy(*keys).agg(
+        total.alias("count"), mean.alias("mean"), spread.alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max"))
+
+
 def quantiles(
     df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], step: float = MONEY_STEP
 ) -> DataFrame:
@@ -121,18 +135,48 @@ def summarize(
     return fold(frames, keys)
 
 
-def numbered(df: DataFrame, keys: list[str], slot: Column, order: list[Column], name: str):
-    """Row numbers from 0 within each group, and the group size as `<name>_of`.
+def row_mark(columns: list[str], numbers: list[str] = ()) -> Column:
+    """A hexadecimal digest of all columns, nulls included.
 
-    `slot` must rise with the order; rows are counted per slot, and only the rows of one
-    slot are sorted together.
+    Rows that differ get different marks, so an order by mark depends on the data only. `numbers` are written
+    with six digits after the point, as other engines can do alike.
     """
-    slotted = df.withColumn("_step", slot)
-    steps = _steps(slotted.withColumn("_n", F.lit(1)), keys)
-    inside = Window.partitionBy(*keys, "_step").orderBy(*order)
-    return (
-        join_on(slotted, steps, [*keys, "_step"], "inner", filled="_step")
-        .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .withColumnRenamed("_total", name + "_of")
-        .drop("_step", "_before", "_in")
-    )
+    def shown(c: str) -> Column:
+        value = F.round(F.col(c), 6).cast("decimal(30,6)") if c in numbers else F.col(c)
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    return F.md5(F.concat_ws("|", *map(shown, columns)))
+
+
+def labelled(df: DataFrame, keys: list[str], mark: Column, label, name: str) -> DataFrame:
+    """A label by place in the order of marks of each group.
+
+    `label(row, total)` must not fall as the row number rises. Marks are cut into 65536
+    slots by their first digits; slots are counted, and the few slots in which the label changes are kept
+    as one row a group. All rows of other slots get their label from that row. Only
+    rows of the slots with a change are put in order.
+    """
+    slot = F.conv(F.substring("_mark", 1, 4), 16, 10).cast("long")
+    marked = df.withColumn("_mark", mark).withColumn("_slot", slot)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    along = group.orderBy("_slot")
+    counted = marked.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_in"))
+    slots = counted.withColumns({
+        "_total": F.sum("_in").over(group), "_before": F.sum("_in").over(along) - F.col("_in"),
+    }).withColumns({
+        "_first": label(F.col("_before"), F.col("_total")),
+        "_last": label(F.col("_before") + F.col("_in") - 1, F.col("_total")),
+    }).withColumn("_prior", F.lag("_last").over(along))
+    changes = slots.where("_prior is null or _first <> _prior or _first <> _last").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_slot", "_first", "_last", "_before"))).alias("_changes"),
+        F.max("_total").alias("_total"))
+    joined = join_on(marked, changes, keys, "inner").withColumn("_at", F.element_at(
+        F.filter("_changes", lambda c: c["_slot"] <= F.col("_slot")), -1))
+    open_ = (F.col("_at._slot") == F.col("_slot")) & (F.col("_at._first") != F.col("_at._last"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_mark", *(
+        c for c, kind in df.dtypes if not kind.startswith("map")))
+    row = F.col("_at._before") + F.row_number().over(inside) - 1
+    sure = joined.where(~open_).withColumn(name, F.col("_at._last"))
+    placed = joined.where(open_).withColumn("_row", row).withColumn(
+        name, label(F.col("_row"), F.col("_total"))).drop("_row")
+    return sure.unionByName(placed).drop("_mark", "_slot", "_changes", "_total", "_at")

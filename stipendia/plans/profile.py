@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stipendia.functions.scalars import count_where, percent
 from stipendia.operators.histogram import histogram
-from stipendia.operators.ranks import MONEY_STEP, summarize, value_counts
+from stipendia.operators.ranks import (
+    MONEY_STEP, fold, moments_of_counts, quantiles_of_counts, value_counts,
+)
 from stipendia.operators.tall import tall, tall_row
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -31,14 +33,14 @@ def missing_profile(df: DataFrame, top: int = 20) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str], step: float = MONEY_STEP) -> DataFrame:
-    """count, mean, sample deviation, minimum, quartiles and maximum per column."""
-    value = F.col("value")
-    return summarize(
-        tall(df, columns, "double"), ["column_name"],
-        [F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev(value).alias("std"),
-         F.min(value).alias("min"), F.max(value).alias("max")],
-        (value, QUARTILES, step),
-    )
+    """count, mean, sample deviation, minimum, quartiles and maximum per column.
+
+    Everything follows from one table of counted values, so the input is read once.
+    """
+    key = ["column_name"]
+    counts = value_counts(tall(df, columns, "double"), key, F.col("value"))
+    return fold([moments_of_counts(counts, key),
+                 quantiles_of_counts(counts, key, QUARTILES, step)], key)
 
 
 def cardinality_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,9 +83,9 @@ def sign_checks(df: DataFrame, columns: list[str]) -> DataFrame:
     return tall_row(counts, columns, ["negative", "zero"])
 
 
-def numeric_histograms(df: DataFrame, columns: list[str], most: int = 8) -> DataFrame:
-    """Histogram of up to eight numeric columns, number of bins chosen per column."""
-    counts = value_counts(tall(df, columns[:most], "double"), ["column_name"], F.col("value"))
+def numeric_histograms(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Histogram of every given column, number of bins chosen per column."""
+    counts = value_counts(tall(df, columns, "double"), ["column_name"], F.col("value"))
     return histogram(counts, ["column_name"], None, MONEY_STEP)
 
 

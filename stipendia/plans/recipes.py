@@ -9,7 +9,8 @@ from stipendia.functions import rules
 from stipendia.functions.scalars import percent
 from stipendia.operators.lookup import attach
 from stipendia.operators.ranks import (
-    MONEY_STEP, join_on, numbered, quantiles, value_counts, value_positions,
+    MONEY_STEP, fold, join_on, labelled, moments_of_counts, quantiles_of_counts, value_counts,
+    value_positions,
 )
 from stipendia.operators.tall import tall_row
 
@@ -22,18 +23,16 @@ def year_relative_salary(df: DataFrame) -> DataFrame:
     The percentile is the mean rank of equal salaries over the size of the year.
     """
     salary, year = F.col("base_salary"), ["fiscal_year"]
-    positions = value_positions(value_counts(df, year, salary), year, MONEY_STEP)
-    ranks = positions.select(
+    counts = value_counts(df, year, salary)
+    ranks = value_positions(counts, year, MONEY_STEP).select(
         *year, F.col("_v").alias("base_salary"),
         ((F.col("_from") + F.col("_to") + 1) / 2 / F.col("_total"))
         .alias("salary_percentile_by_year"),
     )
-    stats = df.groupBy(*year).agg(F.avg(salary).alias("_mean"),
-                                  F.stddev(salary).alias("salary_std_by_year"))
-    medians = quantiles(df, year, salary, {"_median": 0.5})
-    # At most one row per year: small whatever the size of the table.
-    by_year = F.broadcast(join_on(stats, medians, year))
-    rows = join_on(join_on(df, by_year, year), ranks, [*year, "base_salary"])
+    stats = moments_of_counts(counts, year).select(
+        *year, F.col("mean").alias("_mean"), F.col("std").alias("salary_std_by_year"))
+    medians = quantiles_of_counts(counts, year, {"_median": 0.5}, MONEY_STEP)
+    rows = join_on(join_on(df, fold([stats, medians], year), year), ranks, [*year, "base_salary"])
     deviation = salary - F.col("_mean")
     return rows.withColumns({
         "salary_vs_year_mean": salary / F.col("_mean"),
@@ -46,14 +45,12 @@ def year_relative_salary(df: DataFrame) -> DataFrame:
 def stratified_sample(df: DataFrame, strata: list[str], share: float, mark: Column) -> DataFrame:
     """round(share * size) rows of every stratum, those with the smallest marks.
 
-    `mark` is a hexadecimal digest of the row: its first digits spread a stratum over many
-    tasks, and the sample depends on the data only.
+    `mark` is a hexadecimal digest of the row, so the sample depends on the data only.
     """
-    marked = df.withColumn("_mark", mark)
-    slot = F.conv(F.substring("_mark", 1, 4), 16, 10).cast("long")
-    rows = numbered(marked, strata, slot, [F.col("_mark")], "_row")
-    return rows.where(F.col("_row") < F.bround(F.col("_row_of") * share, 0)).drop(
-        "_mark", "_row", "_row_of")
+    def left_out(row: Column, total: Column) -> Column:
+        return F.when(row < F.bround(total * share, 0), 0).otherwise(1)
+
+    return labelled(df, strata, mark, left_out, "_out").where("_out = 0").drop("_out")
 
 
 def min_stratum(df: DataFrame, strata: list[str] = STRATUM, least: int = 100) -> DataFrame:
@@ -111,8 +108,20 @@ def agency_prestige(df: DataFrame) -> DataFrame:
     return means.withColumn("agency_prestige", rank / F.count("*").over(everything))
 
 
-def variance_report(df: DataFrame, columns: list[str], threshold: float = 0.0) -> DataFrame:
+# Fixed value: features whose variance is not above this are dropped.
+LEAST_VARIANCE = 0.01
+
+
+def variance_report(df: DataFrame, columns: list[str],
+                    threshold: float = LEAST_VARIANCE) -> DataFrame:
     """Population variance per feature and whether it passes the threshold."""
     row = df.agg(*[F.var_pop(c).alias(f"{c}__variance") for c in columns])
     return tall_row(row, columns, ["variance"]).withColumn(
         "kept", F.col("variance") > threshold)
+
+
+def drop_constant(df: DataFrame, columns: list[str],
+                  threshold: float = LEAST_VARIANCE) -> DataFrame:
+    """The table without the features that do not vary enough; one row a column comes back."""
+    report = variance_report(df, columns, threshold).where("not kept")
+    return df.drop(*[r.column_name for r in report.select("column_name").collect()])

@@ -96,3 +96,27 @@ def test_agency_prestige_ties(spark):
                                "agency_std string, base_salary double")
     found = {r.agency_std: r.agency_prestige for r in recipes.agency_prestige(df).collect()}
     assert found == {"a": 0.25, "b": 0.625, "c": 0.625, "d": 1.0}
+
+
+def test_marks_tell_cents_and_nulls_apart(spark):
+    df = spark.createDataFrame(
+        [(1.25, None), (1.26, None), (None, 1.25), (None, 1.26)], "a double, b double")
+    for numbers in ((), ("a", "b")):
+        marks = df.select(ranks.row_mark(["a", "b"], numbers).alias("m")).distinct()
+        assert marks.count() == 4
+
+
+def test_labels_do_not_depend_on_partitions(spark):
+    # Four marks only: labels change inside a slot, and ties are broken by the row.
+    df = spark.range(2000).select("id", (F.col("id") % 4).alias("g"), (F.col("id") % 3).alias("k"))
+    mark = F.md5(F.col("g").cast("string"))
+
+    def third(row, total):
+        return F.floor(row * 3 / total).cast("int")
+
+    for keys in ([], ["k"]):
+        one = ranks.labelled(df, keys, mark, third, "label")
+        two = ranks.labelled(df.repartition(7), keys, mark, third, "label")
+        assert one.exceptAll(two).count() == 0 and one.count() == 2000
+        sizes = [r["count"] for r in one.groupBy(*keys, "label").count().collect()]
+        assert max(sizes) - min(sizes) <= 2
