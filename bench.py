@@ -24,7 +24,8 @@ HEADLINE = [
     "agency_anomaly_rate", "temporal_split", "yoy_growth", "salary_trajectory",
     "year_relative_salary", "stratified_sample", "regression_metrics",
 ]
-MODELS = ["train_linear_family", "cross_validate"]
+MODELS = ["load_payroll", "reference_features", "train_linear_family", "train_forest", "train_gbt",
+          "tune_alpha", "cross_validate", "score_test_year"]
 
 
 def seconds(action) -> float:

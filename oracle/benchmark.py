@@ -21,7 +21,8 @@ SELECT q.request_id, q.title_std, q.agency_std, coalesce(c.title_category, 'othe
        (SELECT CAST(sum(agency_title_count) AS BIGINT) FROM reference z
         WHERE z.agency_std = q.agency_std) AS agency_size,
        agency_title_count, median_salary_by_title, median_salary_by_agency, count_of_job_titles,
-       current_year, coalesce(regular_hours, 1820e0) AS regular_hours
+       current_year, coalesce(regular_hours, 1820e0) AS regular_hours,
+       median_salary_by_title AS title_avg_salary
 FROM requests q JOIN reference x ON q.title_std = x.title_std AND q.agency_std = x.agency_std
 LEFT JOIN categories c ON q.title_std = c.title_std""")
 

@@ -79,6 +79,10 @@ QUERIES = {
     "rare_titles": on("features", f"""
         SELECT * EXCLUDE (tenure_bucket, log_base_salary, tenure_years, title_frequency,
                           agency_size) REPLACE ({_TENURE}) FROM features"""),
+    "overtime_features": on("model", f"""
+        SELECT fiscal_year, CASE WHEN coalesce(ot_hours, 0) > 0 THEN 1 ELSE 0 END AS has_ot,
+               count(*) AS records, {r('sum(coalesce(ot_hours, 0))')} AS ot_hours_total
+        FROM model GROUP BY 1, 2"""),
     "feature_table": on("features", f"SELECT * REPLACE ({_TENURE}, {_LOG}) FROM features"),
     "reference_table": on("reference", shown("reference", *_COUNTS)),
     "reference_features": on("training", shown(
@@ -99,6 +103,14 @@ QUERIES = {
         UNION ALL SELECT 'reference', count(*) FROM reference"""),
 }
 
+_NUMBERS = ["base_salary", "total_compensation", "ot_hours", "total_ot_paid", "total_other_pay",
+            "regular_hours", "employee_agency_tenure"]
+
+
+def _digits(column: str) -> str:
+    return f"coalesce(CAST(CAST(round({column}, 6) AS DECIMAL(30, 6)) AS VARCHAR), '~')"
+
+
 # Recipes on the feature table.
 STRATUM = "work_location_borough, title_category"
 QUERIES.update({
@@ -120,11 +132,8 @@ QUERIES.update({
         SELECT * EXCLUDE (m, row_, of_) REPLACE ({_TENURE}, {_LOG}) FROM (
           SELECT *, row_number() OVER (PARTITION BY title_std, agency_std ORDER BY m) AS row_,
                  count(*) OVER (PARTITION BY title_std, agency_std) AS of_
-          FROM (SELECT *, md5(concat_ws('|', fiscal_year, title_category, work_location_borough,
-                  CAST(base_salary AS BIGINT), CAST(total_compensation AS BIGINT),
-                  CAST(ot_hours AS BIGINT), CAST(total_ot_paid AS BIGINT),
-                  CAST(total_other_pay AS BIGINT), CAST(regular_hours AS BIGINT),
-                  CAST(round(coalesce(employee_agency_tenure, -1) * 365.25) AS BIGINT))) AS m
+          FROM (SELECT *, md5(concat_ws('|', fiscal_year, coalesce(title_category, '~'),
+                  coalesce(work_location_borough, '~'), {', '.join(map(_digits, _NUMBERS))})) AS m
                 FROM features))
         WHERE row_ <= round_even(of_ * 0.5e0, 0)"""),
     "min_stratum": on("features", f"""
@@ -168,7 +177,7 @@ QUERIES.update({
         FROM (SELECT agency_std, avg(base_salary) AS mean_salary FROM features
               GROUP BY agency_std)"""),
     "variance_report": on("training", "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, {r(f'var_pop({c})')} AS variance, var_pop({c}) > 0 AS kept "
+        f"SELECT '{c}' AS column_name, {r(f'var_pop({c})')} AS variance, var_pop({c}) > 0.01 AS kept "
         f"FROM training WHERE split = 'train'" for c in (
             "fiscal_year", "tenure_years", "title_frequency", "agency_size",
             "median_salary_by_title", "median_salary_by_agency", "count_of_job_titles",

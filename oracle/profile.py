@@ -3,7 +3,6 @@ from __future__ import annotations
 from oracle.base import lit, on, pct, r, shown
 from stipendia.schema import NUMERIC_COLUMNS, PAY_COLUMNS, RAW_TYPES
 
-NAMES = ["agency_name", "title_description", "leave_status_as_of_june_30", "work_location_borough"]
 OBJECTS = ["agency_name", "last_name", "first_name", "agency_start_date", "work_location_borough",
            "title_description"]
 
@@ -77,7 +76,7 @@ QUERIES = {
     "numeric_profile": on("clean", describe(NUMERIC_COLUMNS, "clean")),
     "cardinality_profile": on("payroll_raw", f"""
         SELECT column_name, count(DISTINCT value) AS distinct_values
-        FROM ({stacked(NAMES, 'payroll_raw', 'STRING')}) GROUP BY column_name"""),
+        FROM ({stacked(list(RAW_TYPES), 'payroll_raw', 'STRING')}) GROUP BY column_name"""),
     "top_values": on("clean", TOP),
     "leave_status_counts": on("payroll_raw", shares("leave_status_as_of_june_30", "payroll_raw")),
     "pay_basis_counts": on("standard", shares("pay_basis", "standard")),
@@ -85,6 +84,5 @@ QUERIES = {
     "sign_checks": on("located", "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT {lit(c)} AS column_name, count(*) FILTER (WHERE {c} < 0) AS negative, "
         f"count(*) FILTER (WHERE {c} = 0) AS zero FROM located" for c in PAY_COLUMNS) + ")"),
-    "numeric_histograms": on("clean", histogram(stacked(NUMERIC_COLUMNS[:8], "clean", "DOUBLE"),
-                                                None)),
+    "numeric_histograms": on("clean", histogram(stacked(NUMERIC_COLUMNS, "clean", "DOUBLE"), None)),
 }

@@ -56,6 +56,7 @@ def benchmark_requests(requests: DataFrame, reference: DataFrame, categories: Da
         or_else("count_of_job_titles", DEFAULT_COUNT).alias("count_of_job_titles"),
         or_else("current_year", DEFAULT_YEAR).alias("current_year"),
         or_else("regular_hours", DEFAULT_HOURS).alias("regular_hours"),
+        F.col("median_salary_by_title").alias("title_avg_salary"),
     )
 
 

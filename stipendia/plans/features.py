@@ -204,7 +204,7 @@ def model_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 
     A table joined to the reference has two columns of hours, so neither is an input.
     """
-    numeric = [c for c in NUMERIC_FEATURES if c in df.columns]
-    if "ref_regular_hours" in df.columns:
-        numeric.remove("regular_hours")
+    both = "ref_regular_hours" in df.columns
+    numeric = [c for c in NUMERIC_FEATURES
+               if c in df.columns and not (both and c == "regular_hours")]
     return [c for c in CATEGORICAL_FEATURES if c in df.columns], numeric

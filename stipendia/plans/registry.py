@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from pyspark.sql.types import StructType
 
 from stipendia import session
 from stipendia.ml import models, tuning
+from stipendia.operators.ranks import row_mark
 from stipendia.plans import (
     anomaly, benchmark, clean, features, overtime, profile, recipes, scoring, tenure, workforce,
 )
-from stipendia.schema import EMPLOYEE_ORDER, NUMERIC_COLUMNS, PAY_COLUMNS
+from stipendia.schema import EMPLOYEE_ORDER, NUMERIC_COLUMNS, PAY_COLUMNS, RAW_TYPES
 from stipendia.sources import payroll, sinks, starschema
 
 
@@ -217,12 +220,9 @@ def _blended(t: Tables) -> DataFrame:
 
 
 def _sample(t: Tables) -> DataFrame:
-    whole = ["base_salary", "total_compensation", "ot_hours", "total_ot_paid", "total_other_pay",
-             "regular_hours"]
-    days = F.round(F.coalesce("employee_agency_tenure", F.lit(-1.0)) * 365.25, 0).cast("long")
-    mark = F.md5(F.concat_ws(
-        "|", "fiscal_year", "title_category", "work_location_borough",
-        *[F.col(c).cast("long") for c in whole], days))
+    numbers = ["base_salary", "total_compensation", "ot_hours", "total_ot_paid",
+               "total_other_pay", "regular_hours", "employee_agency_tenure"]
+    mark = row_mark(["fiscal_year", "title_category", "work_location_borough", *numbers], numbers)
     return recipes.stratified_sample(t.features, ["title_std", "agency_std"], 0.5, mark)
 
 
@@ -309,6 +309,57 @@ def _importance(t: Tables) -> DataFrame:
     return models.feature_importance(t.spark, model, _setup(t).training)
 
 
+# Where the models of a folder were saved in this application.
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _saved(t: Tables) -> DataFrame:
+    """The registry of the linear family, fitted once, saved and scored on the test year."""
+    if _key(t) not in _MODELS:
+        folder = session.scratch_path(t.spark, "models")
+        for kind in models.DEFAULT_ALPHA:
+            model = models.train_model(kind, _setup(t))
+            score = _setup(t).evaluate(model, _splits(t)[2]).first()
+            models.save_model(t.spark, _setup(t).pipeline(model), folder, kind, test_r2=score.r2)
+        _MODELS[_key(t)] = folder
+    return models.load_registry(t.spark, _MODELS[_key(t)])
+
+
+def _champion(t: Tables) -> PipelineModel:
+    """The best saved model, loaded from where the registry says."""
+    return PipelineModel.load(scoring.best_model(_saved(t)).first().path)
+
+
+def _scored_year(t: Tables) -> DataFrame:
+    return models.predict(_champion(t), _splits(t)[2], 2024).select(
+        *_KEYS, "predicted_log_salary", "predicted_salary", "actual_log_salary", "log_error",
+        "salary_error_pct")
+
+
+def _scored_requests(t: Tables) -> DataFrame:
+    """Requests with the champion's salary and its blend with the title's history."""
+    history = t.train.groupBy("title_std").agg(
+        F.round(F.avg("base_salary"), 0).alias("title_avg_salary"))
+    asked = benchmark.guarded(t.inputs.drop("title_avg_salary"))
+    scored = models.predict(_champion(t), asked)
+    return benchmark.blended_prediction(scored, F.col("predicted_salary"), history)
+
+
+def _request_trajectories(t: Tables) -> DataFrame:
+    return benchmark.salary_trajectory(
+        _scored_requests(t), t.panel, F.col("expected_salary"))
+
+
+def _validated_trees(t: Tables, k: int = 3) -> DataFrame:
+    folded = tuning.folded_cells(_setup(t), _splits(t)[1], k)
+    rows = [tuning.cross_validate(kind, folded, k) for kind in ("rf", "gbt")]
+    return t.spark.createDataFrame(rows, "model string, mean_r2 double, std_r2 double")
+
+
+def _top(count: int, sign: int = 0) -> Query:
+    return at(lambda t: models.top_features(_importance(t), count, sign))
+
+
 MODEL_NUMBERS = ["fiscal_year", "tenure_years", "title_frequency", "agency_size",
                  "median_salary_by_title", "median_salary_by_agency", "count_of_job_titles",
                  "current_year"]
@@ -319,8 +370,7 @@ QUERIES: dict[str, Query] = {
     "dedup_report": on("raw", profile.dedup_report),
     "missing_profile": on("raw", profile.missing_profile),
     "numeric_profile": on("clean", profile.numeric_profile, NUMERIC_COLUMNS),
-    "cardinality_profile": on("raw", profile.cardinality_profile, [
-        "agency_name", "title_description", clean.STATUS, "work_location_borough"]),
+    "cardinality_profile": on("raw", profile.cardinality_profile, list(RAW_TYPES)),
     "top_values": on("clean", profile.top_values, [
         "agency_name", "last_name", "first_name", "agency_start_date", "work_location_borough",
         "title_description"]),
@@ -401,6 +451,9 @@ QUERIES: dict[str, Query] = {
     "tenure_proxy": on("model", features.tenure_proxy),
     "frequency_features": on("model", features.frequency_features),
     "rare_titles": on("model", features.rare_titles),
+    "overtime_features": at(lambda t: features.with_overtime_features(t.model).groupBy(
+        "fiscal_year", "has_ot").agg(F.count("*").alias("records"),
+                                     F.sum("ot_hours_total").alias("ot_hours_total"))),
     "feature_table": at(lambda t: t.features),
     "reference_table": at(lambda t: t.reference),
     "reference_features": at(lambda t: t.training),
@@ -438,6 +491,17 @@ QUERIES: dict[str, Query] = {
     "group_cross_validate": at(_group_validated),
     "model_leaderboard": at(_leaderboard),
     "feature_importance": at(_importance),
+    "cross_validate_trees": at(_validated_trees),
+    "model_registry": at(lambda t: scoring.ranked_models(_saved(t)).select("name", "r2_score")),
+    "score_test_year": at(_scored_year),
+    "score_requests": at(lambda t: _scored_requests(t).select(
+        "request_id", "agency_std", "title_std", "tenure_years", "predicted_log_salary",
+        "expected_salary", "historical_median", "model_prediction_raw")),
+    "request_trajectory": at(_request_trajectories),
+    "top_features": _top(20),
+    "top_features_50": _top(50),
+    "top_positive_features": _top(15, 1),
+    "top_negative_features": _top(15, -1),
     "importance_by_category": at(lambda t: models.importance_by_category(_importance(t))),
     # recipes
     "year_relative_salary": at(lambda t: recipes.year_relative_salary(t.features).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Columns of the raw records with their types, and groups of them.
 RAW_TYPES = {
     "fiscal_year": "int",
     "payroll_number": "int",

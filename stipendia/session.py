@@ -32,9 +32,10 @@ def build(app: str = "stipendia", master: str | None = None, **extra: str) -> Sp
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Put the settings on a session that somebody else built; all can change at run time."""
+    """Put settings that nobody has chosen on a session that somebody else built."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
