@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stipendia.functions import rules
+from oracle import chains
 
 RAW = """
 WITH b AS (
@@ -88,19 +88,6 @@ def pct(a: str, b: str) -> str:
     return r(f"100e0 * ({a}) / nullif(({b}), 0)")
 
 
-def rule_case(text: str, table, otherwise: str) -> str:
-    """The rule table as one CASE: `is` means equal, `has` any word, `all` every word."""
-    lines = []
-    for test, words, label in table:
-        if test == "is":
-            condition = " OR ".join(f"{text} = {lit(w)}" for w in words)
-        else:
-            glue = " AND " if test == "all" else " OR "
-            condition = glue.join(f"contains({text}, {lit(w)})" for w in words)
-        lines.append(f"WHEN {condition} THEN {lit(label)}")
-    return "CASE " + "\n ".join(lines) + f" ELSE {otherwise} END"
-
-
 def words(text: str) -> str:
     """First letter of each blank-separated word in upper case, the rest in lower case."""
     return (
@@ -135,9 +122,7 @@ def buckets(x: str, edges: list, labels: list[str], right: bool = True) -> str:
     return "CASE " + " ".join(lines) + " END"
 
 
-BOROUGH = "CASE work_location_borough " + " ".join(
-    f"WHEN {lit(k)} THEN {lit(v)}" for k, v in rules.BOROUGHS.items()
-) + " END"
+BOROUGH = chains.BOROUGH.format(t="work_location_borough")
 
 LOCATED = f"""
 SELECT * EXCLUDE (work_location_borough, agency_start_date),
@@ -155,14 +140,13 @@ SELECT * EXCLUDE (mid_init, d),
             date_diff('day', agency_start_date, make_date(fiscal_year, 6, 30)) / 365.25e0) END
             AS employee_agency_tenure,
        CASE WHEN agency_name IS NULL THEN 'Unknown Agency' ELSE
-            {rule_case(f"lower({strip('agency_name')})", rules.AGENCY_RULES,
-                       title_case(strip('agency_name')))} END AS agency_std,
+            {chains.AGENCY.format(t=f"lower({strip('agency_name')})",
+                                  other=title_case(strip('agency_name')))} END AS agency_std,
        CASE WHEN title_description IS NULL THEN 'Unknown Role' ELSE
-            {rule_case("lower(title_description)", rules.CATEGORY_RULES, "'Other Roles'")} END
-            AS title_category,
+            {chains.CATEGORY.format(t="lower(title_description)")} END AS title_category,
        CASE WHEN title_description IS NULL THEN 'Unknown' ELSE
-            {rule_case(f"lower({strip('title_description')})", rules.TITLE_RULES,
-                       words(squeeze('title_description')))} END AS title_std
+            {chains.TITLE.format(t=f"lower({strip('title_description')})",
+                                 other=words(squeeze('title_description')))} END AS title_std
 FROM located
 WHERE NOT (coalesce(base_salary < 0, false) OR coalesce(regular_gross_paid < 0, false)
            OR coalesce(total_ot_paid < 0, false) OR coalesce(total_other_pay < 0, false))

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from oracle.base import lit, on, pct, r, shown
-from stipendia.schema import NUMERIC_COLUMNS, PAY_COLUMNS, RAW_TYPES
+from oracle.chains import NUMBERS, PAY, RAW_COLUMNS
 
 OBJECTS = ["agency_name", "last_name", "first_name", "agency_start_date", "work_location_borough",
            "title_description"]
@@ -72,17 +72,17 @@ QUERIES = {
                      (SELECT count(*) FROM (SELECT DISTINCT * FROM payroll_raw)) AS b)"""),
     "missing_profile": on("payroll_raw", "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT {lit(c)} AS column_name, count(*) - count({c}) AS missing FROM payroll_raw"
-        for c in RAW_TYPES) + ")"),
-    "numeric_profile": on("clean", describe(NUMERIC_COLUMNS, "clean")),
+        for c in RAW_COLUMNS) + ")"),
+    "numeric_profile": on("clean", describe(NUMBERS, "clean")),
     "cardinality_profile": on("payroll_raw", f"""
         SELECT column_name, count(DISTINCT value) AS distinct_values
-        FROM ({stacked(list(RAW_TYPES), 'payroll_raw', 'STRING')}) GROUP BY column_name"""),
+        FROM ({stacked(RAW_COLUMNS, 'payroll_raw', 'STRING')}) GROUP BY column_name"""),
     "top_values": on("clean", TOP),
     "leave_status_counts": on("payroll_raw", shares("leave_status_as_of_june_30", "payroll_raw")),
     "pay_basis_counts": on("standard", shares("pay_basis", "standard")),
     "top_titles": on("standard", shares("title_std", "standard", 20)),
     "sign_checks": on("located", "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT {lit(c)} AS column_name, count(*) FILTER (WHERE {c} < 0) AS negative, "
-        f"count(*) FILTER (WHERE {c} = 0) AS zero FROM located" for c in PAY_COLUMNS) + ")"),
-    "numeric_histograms": on("clean", histogram(stacked(NUMERIC_COLUMNS, "clean", "DOUBLE"), None)),
+        f"count(*) FILTER (WHERE {c} = 0) AS zero FROM located" for c in PAY) + ")"),
+    "numeric_histograms": on("clean", histogram(stacked(NUMBERS, "clean", "DOUBLE"), None)),
 }

@@ -1,11 +1,10 @@
 from __future__ import annotations
 
 from oracle.base import COMP, buckets, lit, on, pct, r, shown
+from oracle.chains import BOROUGH, BOROUGHS, TITLE_EXAMPLES
 from oracle.profile import describe
-from stipendia.functions.rules import BOROUGHS
-from stipendia.plans.workforce import TITLE_EXAMPLES
 
-_MAP = "CASE spelling " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in BOROUGHS.items())
+_MAP = BOROUGH.format(t="spelling")
 
 TREND = f"""
 SELECT max(n) AS peak, first(fiscal_year ORDER BY n DESC, fiscal_year) AS peak_year,
@@ -63,7 +62,7 @@ _SHOWN = ["payroll_number", "agency_start_date", "employee_agency_tenure"]
 
 QUERIES = {
     "borough_clean": on("payroll_raw", f"""
-        SELECT spelling, count(*) AS records, {_MAP} END AS borough,
+        SELECT spelling, count(*) AS records, {_MAP} AS borough,
                {pct('count(*)', 'sum(count(*)) OVER ()')} AS pct
         FROM (SELECT coalesce(work_location_borough, 'UNKNOWN') AS spelling
               FROM (SELECT DISTINCT * FROM payroll_raw)
@@ -76,7 +75,7 @@ QUERIES = {
         GROUP BY 1 ORDER BY n DESC, value LIMIT 10"""),
     "borough_year_pivot": on("standard", "SELECT fiscal_year, " + ", ".join(
         f"count(*) FILTER (WHERE work_location_borough = {lit(b)}) AS "
-        f"{b.lower().replace(' ', '_')}" for b in sorted(set(BOROUGHS.values())))
+        f"{b.lower().replace(' ', '_')}" for b in BOROUGHS)
         + " FROM standard WHERE pay_basis = 'per Annum' GROUP BY fiscal_year"),
     "workforce_by_year": on("clean", """
         SELECT fiscal_year, count(*) AS employees FROM clean GROUP BY fiscal_year"""),
