@@ -183,3 +183,24 @@ QUERIES.update({
             "median_salary_by_title", "median_salary_by_agency", "count_of_job_titles",
             "current_year")) + ")"),
 })
+
+
+# Preprocessing: entries of the vector and standardised numbers of the training records.
+_HOT = ["agency_std", "title_std", "title_category", "title_std_grouped", "tenure_bucket"]
+_Z = ["fiscal_year", "tenure_years", "title_frequency", "agency_size", "median_salary_by_title",
+      "median_salary_by_agency", "count_of_job_titles", "current_year"]
+_FILLED = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM t)) AS {c}"
+                    for c in _Z)
+_MEANS = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN var_pop({c}) > 1e-12 THEN stddev_pop({c}) "
+                   f"ELSE 1 END AS s_{c}" for c in _Z)
+_ENTRIES = " + ".join(f"(SELECT count(DISTINCT {c}) FROM t)" for c in _HOT)
+_SET = " + ".join(f"CASE WHEN abs({c} - m_{c}) > 1e-9 THEN 1 ELSE 0 END" for c in _Z)
+QUERIES["preprocess_features"] = on("training", f"""
+WITH t AS MATERIALIZED (SELECT * FROM training WHERE split = 'train'),
+f AS MATERIALIZED (SELECT agency_std, title_std, base_salary, {_FILLED} FROM t),
+m AS MATERIALIZED (SELECT {_MEANS} FROM f)
+SELECT CAST(fiscal_year AS INT) AS fiscal_year, agency_std, title_std, base_salary,
+       CAST({len(_HOT)} + {_SET} AS INT) AS entries_set,
+       CAST({_ENTRIES} + {len(_Z)} AS INT) AS entries,
+       {', '.join(f"{r(f'({c} - m_{c}) / s_{c}')} AS {c}__z" for c in _Z)}
+FROM f, m""")
