@@ -207,7 +207,9 @@ def index(archives: DataFrame) -> DataFrame:
                 pa.array([e["type"] for e in each]), pa.array([e["digest"] for e in each])],
                 names=["path", "place", "size", "url", "type", "digest"])
 
-    return archives.select("path").repartition("path").mapInArrow(
+    # Rows are small and stand for whole files, so each gets a task of its own.
+    tasks = max(1, archives.count())
+    return archives.select("path").repartition(tasks).mapInArrow(
         rows, "path string, place bigint, size bigint, url string, type string, digest string")
 
 
