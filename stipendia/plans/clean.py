@@ -86,15 +86,14 @@ def meaningful_employment(clean: DataFrame) -> DataFrame:
     return _meaningful(clean.drop("pay_basis", STATUS).distinct())
 
 
-def analysis_population(raw: DataFrame, distinct: bool = True) -> DataFrame:
+def analysis_population(raw: DataFrame) -> DataFrame:
     """meaningful_employment(clean_payroll(raw)) with one shuffle instead of two.
 
     Steps between the two distincts work row by row, so the first changes nothing, and
-    derived columns are added after the shuffle. With distinct=False the rows may repeat:
-    for callers that remove repeats themselves.
+    derived columns are added after the shuffle.
     """
     rows = analysis_years(annual(_screened(raw))).drop("pay_basis", STATUS)
-    return _meaningful(standardised(rows.distinct() if distinct else rows))
+    return _meaningful(standardised(rows.distinct()))
 
 
 def employment_files(population: DataFrame) -> dict[str, DataFrame]:

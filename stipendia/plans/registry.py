@@ -22,19 +22,20 @@ from stipendia.sources import payroll, sinks, starschema
 
 # Where the stages of a folder were written in this application, and their schema.
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_CSV: dict[tuple[str, str], str] = {}
 
 
 def stage(*partitions: str):
     """A table that is written to the shared folder when first asked for, and then read.
 
-    These are the files that programs of a payroll pipeline hand to each other: raw and standard
-    records, the analysis population, features, reference table and yearly panel. They are
+    These are the files that programs of a payroll pipeline hand to each other: standard
+    records, the analysis population, features, reference table and yearly panel, each made from the one before. They are
     built once per application; all queries start from them.
     """
     def decorate(build: Callable[[Tables], DataFrame]) -> property:
         def table(self: Tables) -> DataFrame:
             key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
-            if key not in _WRITTEN:
+            if key not in _WRITTEN or not session.exists(self.spark, _WRITTEN[key][0]):
                 _WRITTEN[key] = session.staged(build(self), build.__name__, *partitions)
             path, schema = _WRITTEN[key]
             return self.spark.read.schema(schema).parquet(path)
@@ -50,8 +51,9 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = session.tune(spark), folder
 
-    @stage()
+    @property
     def raw(self) -> DataFrame:
+        """The records as they come; a source of its own, so it is not copied."""
         return starschema.payroll_raw(self.spark, self.folder)
 
     @property
@@ -68,11 +70,22 @@ class Tables:
 
     @stage()
     def population(self) -> DataFrame:
-        return clean.analysis_population(self.raw)
+        return clean.meaningful_employment(self.clean)
 
     @stage()
     def model(self) -> DataFrame:
-        return features.model_population(clean.analysis_population(self.raw, distinct=False))
+        return features.model_population(self.population)
+
+    @property
+    def csv(self) -> str:
+        """The records as CSV with human column names, written once."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _CSV or not session.exists(self.spark, _CSV[key]):
+            path = session.scratch_path(self.spark, "payroll-csv")
+            raw = self.raw
+            sinks.write_csv(raw.toDF(*[c.replace("_", " ").title() for c in raw.columns]), path)
+            _CSV[key] = path
+        return _CSV[key]
 
     @stage("split")
     def features(self) -> DataFrame:
@@ -164,11 +177,7 @@ def at(plan: Callable[[Tables], DataFrame]) -> Query:
 
 
 def _load_payroll(t: Tables) -> DataFrame:
-    """Write the records as CSV with human column names, and load that."""
-    path = session.scratch_path(t.spark, "payroll-csv")
-    named = t.raw.toDF(*[c.replace("_", " ").title() for c in t.raw.columns])
-    sinks.write_csv(named, path)
-    return payroll.load_payroll(t.spark, path)
+    return payroll.load_payroll(t.spark, t.csv)
 
 
 def _write_splits(t: Tables) -> DataFrame:
@@ -315,7 +324,7 @@ _MODELS: dict[tuple[str, str], str] = {}
 
 def _saved(t: Tables) -> DataFrame:
     """The registry of the linear family, fitted once, saved and scored on the test year."""
-    if _key(t) not in _MODELS:
+    if _key(t) not in _MODELS or not session.exists(t.spark, _MODELS[_key(t)]):
         folder = session.scratch_path(t.spark, "models")
         for kind in models.DEFAULT_ALPHA:
             model = models.train_model(kind, _setup(t))

@@ -60,6 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether files that an earlier query wrote are still there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def staged(df: DataFrame, name: str, *partitions: str) -> tuple[str, StructType]:
     """Write a table once to the shared folder; what to read it back with.
 
