@@ -38,6 +38,17 @@ def cells(df: DataFrame, categorical: list[str], numeric: list[str], *keep: str)
     return durable(sums.withColumn(MEAN, F.col(SUM) / F.col(COUNT)))
 
 
+def pieces(data: DataFrame, rows: float, most: int = 200_000) -> DataFrame:
+    """Cells cut into rows of equal weight, each at most one `most`-th of all records.
+
+    With up to `most` records every piece is a record, so drawing pieces is drawing records.
+    Beyond that one draw still moves a small part only.
+    """
+    number = F.ceil(F.col(COUNT) / max(1.0, rows / most)).cast("int")
+    cut = data.withColumn("_piece", F.explode(F.array_repeat(F.lit(0), number)))
+    return cut.withColumn(COUNT, F.col(COUNT) / number).drop("_piece")
+
+
 def outcomes(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
     """Records per distinct input and target, for metrics that need single errors."""
     rows = prepared(df, categorical, numeric, TARGET).where(F.col(TARGET).isNotNull())

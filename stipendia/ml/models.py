@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipendia.ml.cells import (
-    COUNT, MEAN, TARGET, Scale, cells, label_scale, outcomes, weighted_metrics,
+    COUNT, MEAN, TARGET, Scale, cells, label_scale, outcomes, pieces, weighted_metrics,
 )
 from stipendia.ml.preprocess import FEATURES, feature_names, fit_preprocessor
 from stipendia.plans.features import model_columns
@@ -104,8 +104,14 @@ def predict(pipeline: PipelineModel, rows: DataFrame, year: int | None = None) -
     return score_with_errors(scored)
 
 
+def fitted(kind: str, data: DataFrame, alpha: float | None = None):
+    """A model of a kind on cells; a forest draws its bootstrap over pieces of cells."""
+    chosen = estimator(kind, data, alpha)
+    return chosen.fit(pieces(data, label_scale(data).rows) if kind == "rf" else data)
+
+
 def train_model(kind: str, setup: Setup, alpha: float | None = None):
-    return estimator(kind, setup.training, alpha).fit(setup.training)
+    return fitted(kind, setup.training, alpha)
 
 
 def feature_importance(spark: SparkSession, model, transformed: DataFrame) -> DataFrame:

@@ -44,12 +44,15 @@ def group_folded_cells(setup: models.Setup, df: DataFrame, k: int, *group: str)
     return setup.cells(group_folds(df, k, [F.col(g) for g in group]), "fold")
 
 
-def _fold_scores(data: DataFrame, k: int, candidates: list, build) -> list[list[float]]:
-    """r2 of every candidate on every fold. Fits are independent jobs and run side by side."""
+def _fold_scores(data: DataFrame, k: int, candidates: list, fit) -> list[list[float]]:
+    """r2 of every candidate on every fold. Fits are independent jobs and run side by side.
+
+    `fit` makes a model of a candidate, the training cells and their scale.
+    """
     def score(task: tuple[int, int]) -> float:
         i, fold = task
         part = data.where(F.col("fold") != fold)
-        model = build(candidates[i], part, scales[fold]).fit(part)
+        model = fit(candidates[i], part, scales[fold])
         return cell_r2(model.transform(data.where(F.col("fold") == fold)))
 
     data = data.persist()
@@ -66,8 +69,8 @@ def _fold_scores(data: DataFrame, k: int, candidates: list, build) -> list[list[
 def tune_alpha(kind: str, folded: DataFrame, k: int) -> dict[str, float]:
     """The penalty with the best mean r2 over the folds; refit with models.train_model."""
     grid = alphas(kind)
-    scores = _fold_scores(folded, k, grid, lambda alpha, _, scale: models.linear(
-        kind, alpha, scale))
+    scores = _fold_scores(folded, k, grid, lambda alpha, part, scale: models.linear(
+        kind, alpha, scale).fit(part))
     means = [fmean(s) for s in scores]
     best = max(range(len(grid)), key=means.__getitem__)
     return {"best_alpha": grid[best], "best_cv_r2": means[best]}
@@ -75,7 +78,7 @@ def tune_alpha(kind: str, folded: DataFrame, k: int) -> dict[str, float]:
 
 def tune_boosting(folded: DataFrame, k: int, points: list[dict] | None = None) -> dict:
     points = draws() if points is None else points
-    scores = _fold_scores(folded, k, points, lambda p, _, scale: models.boosting(**p))
+    scores = _fold_scores(folded, k, points, lambda p, part, _: models.boosting(**p).fit(part))
     means = [fmean(s) for s in scores]
     best = max(range(len(points)), key=means.__getitem__)
     return {**points[best], "best_cv_r2": means[best]}
@@ -83,5 +86,5 @@ def tune_boosting(folded: DataFrame, k: int, points: list[dict] | None = None) -
 
 def cross_validate(kind: str, folded: DataFrame, k: int, alpha: float | None = None) -> dict:
     """Refit on the folds of the given table; mean and population deviation of r2."""
-    scores, = _fold_scores(folded, k, [alpha], lambda a, part, _: models.estimator(kind, part, a))
+    scores, = _fold_scores(folded, k, [alpha], lambda a, part, _: models.fitted(kind, part, a))
     return {"model": kind, "mean_r2": fmean(scores), "std_r2": pstdev(scores)}

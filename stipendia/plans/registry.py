@@ -207,6 +207,36 @@ def _actual_and_predicted() -> tuple[Column, Column]:
 _KEYS = ["fiscal_year", "agency_std", "title_std", "base_salary", "total_compensation"]
 
 
+def _write_reports(t: Tables) -> DataFrame:
+    """Write the anomaly layouts and the tenure master by name, and count what can be read back."""
+    folder = session.scratch_path(t.spark, "reports")
+    tables = {
+        "anomaly_investigation": anomaly.investigation_table(t.population),
+        "anomaly_investigation_notes": anomaly.investigation_notes(t.population),
+        "anomaly_investigation_final": anomaly.final_investigation(t.population),
+        "tenure_master": tenure.tenure_master(t.population),
+    }
+    sinks.write_all(tables, folder)
+    counted = None
+    for name in tables:
+        one = t.spark.read.parquet(f"{folder}/{name}").agg(
+            F.lit(name).alias("name"), F.count("*").alias("records"))
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
+def _write_metadata(t: Tables) -> DataFrame:
+    """Target, model inputs and size of each split as JSON, read back."""
+    path = session.scratch_path(t.spark, "metadata")
+    categorical, numeric = features.model_columns(t.training)
+    sizes = t.training.groupBy("split").agg(F.count("*").alias("records"))
+    sinks.write_json(sizes.withColumns({
+        "target": F.lit("base_salary"), "log_target": F.lit("log_base_salary"),
+        "inputs": F.lit("|".join([*categorical, *numeric]))}), path)
+    return t.spark.read.schema(
+        "split string, records long, target string, log_target string, inputs string").json(path)
+
+
 def _estimates(t: Tables) -> DataFrame:
     """A registry of three estimates without a model, scored on the test year."""
     title, agency = F.col("median_salary_by_title"), F.col("median_salary_by_agency")
@@ -258,14 +288,13 @@ def _setup(t: Tables) -> models.Setup:
     return _FITTED[_key(t)]
 
 
-def _evaluated(t: Tables, *kinds: str, alphas: dict[str, float] | None = None) -> DataFrame:
+def _evaluated(t: Tables, *kinds: str) -> DataFrame:
     """Each kind of model trained on the training years and scored on the test year."""
     rows = []
     for kind in kinds:
-        alpha = (alphas or {}).get(kind)
-        key = (*_key(t), kind, alpha)
+        key = (*_key(t), kind)
         if key not in _SCORES:
-            model = models.train_model(kind, _setup(t), alpha)
+            model = models.train_model(kind, _setup(t))
             _SCORES[key] = _setup(t).evaluate(model, _splits(t)[2]).first()
         rows.append({"model": kind, **_SCORES[key].asDict()})
     return t.spark.createDataFrame(
@@ -294,11 +323,26 @@ def _tuned_boosting(t: Tables, k: int = 3) -> DataFrame:
 
 
 def _leaderboard(t: Tables, k: int = 3) -> DataFrame:
-    """The five models, ridge and lasso with tuned penalties, best on the test year first."""
+    """The five models, best on the test year first; the champion is saved and registered.
+
+    Ridge, lasso and boosting are tuned by cross-validation before.
+    """
     folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
-    alphas = {kind: tuning.tune_alpha(kind, folded, k)["best_alpha"] for kind in ("ridge", "lasso")}
-    return scoring.leaderboard(
-        _evaluated(t, "linear", "ridge", "lasso", "rf", "gbt", alphas=alphas))
+    found = {"linear": models.train_model("linear", _setup(t)),
+             "rf": models.train_model("rf", _setup(t))}
+    for kind in ("ridge", "lasso"):
+        alpha = tuning.tune_alpha(kind, folded, k)["best_alpha"]
+        found[kind] = models.train_model(kind, _setup(t), alpha)
+    tuned = tuning.tune_boosting(folded, k)
+    tuned.pop("best_cv_r2")
+    found["gbt"] = models.boosting(**tuned).fit(_setup(t).training)
+    scores = {kind: _setup(t).evaluate(model, _splits(t)[2]).first() for kind, model in found.items()}
+    best = max(scores, key=lambda kind: scores[kind].r2)
+    models.save_model(t.spark, _setup(t).pipeline(found[best]),
+                      session.scratch_path(t.spark, "champion"), best, test_r2=scores[best].r2)
+    return scoring.leaderboard(t.spark.createDataFrame(
+        [{"model": kind, **row.asDict()} for kind, row in scores.items()],
+        "model string, rows long, r2 double, rmse double, mae double"))
 
 
 def _group_validated(t: Tables, k: int = 5) -> DataFrame:
@@ -471,6 +515,8 @@ QUERIES: dict[str, Query] = {
     "title_agency_totals": on("reference", features.title_agency_totals),
     "title_to_agencies": at(_joined_agencies),
     "write_splits": at(_write_splits),
+    "write_reports": at(_write_reports),
+    "write_metadata": at(_write_metadata),
     # benchmarks and scores
     "requests_without_reference": at(
         lambda t: benchmark.requests_without_reference(t.requests, t.reference)),
