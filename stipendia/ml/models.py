@@ -41,7 +41,7 @@ def linear(kind: str, alpha: float, scale: Scale) -> LinearRegression:
         squared = alpha * (1 - L1_SHARE[kind]) * scale.sample
     total = absolute + squared
     return LinearRegression(
-        solver="l-bfgs", standardization=False, maxIter=1000, tol=1e-9,
+        solver="l-bfgs", standardization=False, maxIter=1000, tol=1e-7,
         regParam=total, elasticNetParam=absolute / total if total else 0.0, **COLUMNS)
 
 

@@ -310,31 +310,38 @@ def _preprocess(t: Tables) -> DataFrame:
         F.size(vector).alias("entries"), *[f"{c}__z" for c in setup.numeric])
 
 
-def _tuned_alphas(t: Tables, k: int = 3) -> DataFrame:
-    folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
-    rows = [{"model": kind, **tuning.tune_alpha(kind, folded, k)}
-            for kind in tuning.ALPHA_EXPONENTS]
+# Results of searches per folder: each search runs once per application.
+_TUNED: dict[tuple, dict] = {}
+
+
+def _tuned(t: Tables, kind: str, k: int = 3) -> dict:
+    """The best settings of a kind over k folds of the training years."""
+    if (*_key(t), kind) not in _TUNED:
+        folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
+        _TUNED[(*_key(t), kind)] = tuning.tune_boosting(folded, k) if kind == "gbt" else \
+            tuning.tune_alpha(kind, folded, k)
+    return _TUNED[(*_key(t), kind)]
+
+
+def _tuned_alphas(t: Tables) -> DataFrame:
+    rows = [{"model": kind, **_tuned(t, kind)} for kind in tuning.ALPHA_EXPONENTS]
     return t.spark.createDataFrame(rows, "model string, best_alpha double, best_cv_r2 double")
 
 
-def _tuned_boosting(t: Tables, k: int = 3) -> DataFrame:
-    folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
-    return t.spark.createDataFrame([tuning.tune_boosting(folded, k)])
+def _tuned_boosting(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([_tuned(t, "gbt")])
 
 
-def _leaderboard(t: Tables, k: int = 3) -> DataFrame:
+def _leaderboard(t: Tables) -> DataFrame:
     """The five models, best on the test year first; the champion is saved and registered.
 
     Ridge, lasso and boosting are tuned by cross-validation before.
     """
-    folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
     found = {"linear": models.train_model("linear", _setup(t)),
              "rf": models.train_model("rf", _setup(t))}
     for kind in ("ridge", "lasso"):
-        alpha = tuning.tune_alpha(kind, folded, k)["best_alpha"]
-        found[kind] = models.train_model(kind, _setup(t), alpha)
-    tuned = tuning.tune_boosting(folded, k)
-    tuned.pop("best_cv_r2")
+        found[kind] = models.train_model(kind, _setup(t), _tuned(t, kind)["best_alpha"])
+    tuned = {name: value for name, value in _tuned(t, "gbt").items() if name != "best_cv_r2"}
     found["gbt"] = models.boosting(**tuned).fit(_setup(t).training)
     scores = {kind: _setup(t).evaluate(model, _splits(t)[2]).first() for kind, model in found.items()}
     best = max(scores, key=lambda kind: scores[kind].r2)
