@@ -35,6 +35,8 @@ from stipendia.llm.tables import free, given_id, identified, written
 
 BLOCK = 1 << 17
 PACKED_BYTES = 16 << 20
+#: Encoded bytes that one task decodes.
+READ_BYTES = 8 << 20
 
 
 @dataclass
@@ -207,7 +209,9 @@ def read(spark: SparkSession, stored: Stored, summary: bool = False) -> DataFram
 
     chosen = placed(stored).select("file", "place", "size", "start", "docs", "counts")
     kind = "bigint" if summary else "array<bigint>"
-    found = chosen.repartition("file", "place").mapInArrow(
+    # The rows of the index are small, so their number of tasks follows the bytes they stand for.
+    total = stored.index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = chosen.repartition(total // READ_BYTES + 1, "file", "place").mapInArrow(
         rows, f"_id bigint, start bigint, n_tokens bigint, ids {kind}")
     return found.select(given_id().alias("doc_id"), "start", "n_tokens",
                         F.col("ids").alias("ids_crc32" if summary else "ids"))
