@@ -18,11 +18,16 @@ NULL_ID = -(2**63)
 
 
 _shipped: set[str] = set()
+#: Bytes in a batch that goes to a Python worker, unless the session has chosen.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package; Spark hands the archive to every executor."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(stipendia.__file__))
@@ -44,11 +49,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table after writing it to the shared folder; a lost executor costs a re-read."""
-    spark = df.sparkSession
-    out = session.written(df, f"llm-{name}")
+    spark, schema = df.sparkSession, df.schema
+    path = session.scratch_path(spark, f"llm-{name}")
+    df.write.option("compression", "zstd").parquet(path)
     del df
     free(spark)
-    return out
+    return spark.read.schema(schema).parquet(path)
 
 
 def free(spark: SparkSession) -> None:
