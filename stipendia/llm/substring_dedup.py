@@ -42,7 +42,7 @@ GRAM = 20
 #: Runs in a shard; its automaton has at most twice as many states.
 SHARD = 20_000
 #: Words of passages that one task streams through one shard.
-TASK_WORDS = 500_000
+TASK_WORDS = 50_000
 
 
 def base_rows(docs: DataFrame, span: int) -> DataFrame:
