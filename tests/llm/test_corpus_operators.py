@@ -210,8 +210,7 @@ def test_substring_removal_with_small_shards_and_crowds(spark, monkeypatch):
     same([tuple(r) for r in found.collect()], brute_removal(docs, 50))
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates_of_awkward_rows(awkward, empty, width):
+def test_near_duplicates_of_awkward_rows(awkward, empty, width=5):
     docs = [(r[0] if r[0] is not None else -1, r[1]) for r in rows()]
     wanted = brute_groups(docs, width)
     found = minhash.groups(awkward, width=width).collect()
@@ -225,7 +224,9 @@ def test_near_duplicates_of_awkward_rows(awkward, empty, width):
     assert minhash.groups(empty).count() == 0
 
 
-def test_near_duplicates_of_chains_and_crowds(spark):
+def test_near_duplicates_of_chains_and_crowds(spark, monkeypatch):
+    # Small blocks, so that groups are dealt to several.
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     rng = np.random.default_rng(11)
     docs, n = [], 0
     for family in range(5):
@@ -248,8 +249,9 @@ def test_components_of_a_long_chain(spark):
     assert components.components(links.where("false")).count() == 0
 
 
-def test_mixing_meets_its_targets(spark, awkward, empty):
+def test_mixing_meets_its_targets(spark, awkward, empty, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(mixing, "CHAIN", 10)
     cells = docs.groupBy("source", "lang").agg(F.sum(mixing.words(F.col("text"))).alias("tokens"))
     targets = {m: mixing.tempered(cells, m) for m in ("source", "lang")}
     raked = mixing.raked(cells, targets)
@@ -257,15 +259,15 @@ def test_mixing_meets_its_targets(spark, awkward, empty):
         held = {r[0]: r[1] for r in raked.groupBy(margin).agg(F.sum("weight")).collect()}
         for value, share in target.collect():
             assert abs(held[value] - share) < 1e-6
-    found = mixing.mixed(docs)
+    found = mixing.mixed(docs, sweeps=4)
     total, expected, kept = found.agg(
         F.sum("_tokens"), F.sum(F.col("_tokens") * F.col("_probability")),
         F.sum(F.when(F.col("_kept"), F.col("_tokens")))).first()
     assert abs(expected / total - mixing.KEEP) < 1e-6
     assert abs(kept / total - mixing.KEEP) < 0.05
-    few = mixing.mixed(awkward)
+    few = mixing.mixed(awkward, sweeps=4)
     assert few.count() == len(rows())
-    assert mixing.sampled(awkward).columns == awkward.columns
+    assert mixing.sampled(awkward, sweeps=4).columns == awkward.columns
     assert mixing.mixed(empty).count() == 0
 
 
