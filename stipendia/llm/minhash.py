@@ -10,12 +10,16 @@ of about 3e-6. Documents are posted under each (coordinate, value) pair; then
 * of a document's values in order of their number of postings, rarest first, two documents
   with MATCHES collisions must share one among all but the last MATCHES - 1. Only that prefix is
   merged; the long lists at the end are skipped;
-* every list is first compared with its smallest document, then with the smallest one of another
-  component. Only pairs of a list that still lie in different components are compared one by
-  one, so a list of thousands of copies costs about its length.
+* the center of a list is its document whose values are posted most often, and all lists of one center
+  make a group. Collisions are counted between the signatures of a group, in blocks inside
+  tasks; documents without a partner of MATCHES collisions leave. Only documents come out, never pairs;
+* what is left is compared with the center on full sets. Documents not connected with the
+  center are then compared with all others of the group, again in blocks. Only links come out.
 
-Pairs with MATCHES collisions are confirmed on their full sets. The components of confirmed links are
-found with star contraction.
+So no list of pairs is ever made: rows grow with documents, and a group of copies costs rows by its
+length, and comparisons of its strays with its members inside blocks.
+
+Every link is confirmed on full sets. The components of links are found with star contraction.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing;
 a text of fewer words than a shingle has one shingle, all of them; an id stands for one document:
@@ -36,9 +40,11 @@ from stipendia.llm import words as W
 from stipendia.llm.components import components
 from stipendia.llm.tables import given_id, identified, keyed, restored, written
 
-COORDINATES = 32
-MATCHES = 14
+COORDINATES = 64
+MATCHES = 36
 PERCENT = 80
+#: Documents of each kind in a block comparison.
+BLOCK = 500
 SEEDS, FACTORS = np.random.default_rng(8).integers(
     1, 2**63, (2, COORDINATES), dtype=np.uint64)
 FACTORS = FACTORS * np.uint64(2) + np.uint64(1)
@@ -114,20 +120,111 @@ def members(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(heads: DataFrame) -> DataFrame:
-    """value, node: the lists to merge, without those that prefix and skip rules leave out."""
+    """value, node, weight: the lists to merge, without what prefix and skip rules leave out.
+
+    The weight of a node is the number of postings of all its shared values.
+    """
     posted = heads.select("node", F.explode("values").alias("value"))
     counted = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     ranked = posted.join(counted, "value").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "value"))).alias("shared"))
     merged = ranked.where(F.size("shared") >= MATCHES).select(
-        "node", F.explode(F.expr(f"slice(shared, 1, size(shared) - {MATCHES} + 1)")).alias("s"))
-    return merged.select(F.col("s.value").alias("value"), "node")
+        "node", F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("weight"),
+        F.explode(F.expr(f"slice(shared, 1, size(shared) - {MATCHES} + 1)")).alias("s"))
+    return merged.select(F.col("s.value").alias("value"), "node", "weight")
+
+
+def centered(lists: DataFrame) -> DataFrame:
+    """center, node, weight: the nodes of all lists of each center, with itself."""
+    centers = lists.groupBy("value").agg(
+        F.max_by("node", F.col("weight")).alias("center"), F.count("*").alias("n")).where("n > 1")
+    return lists.join(centers.drop("n"), "value").select("center", "node", "weight").distinct()
+
+
+def seated(groups: DataFrame, payload: DataFrame) -> DataFrame:
+    """Rows of groups (center, node, n, asking, asks, ...) dealt to the blocks that compare them.
+
+    A group of up to BLOCK nodes is one block. In a larger one every block of asking nodes meets
+    every block of nodes. `role` has 1 for a node that is compared with and 2 for one that asks.
+    """
+    rows, columns = (F.expr(f"int(({c} - 1) div {BLOCK})") for c in ("asking", "n"))
+    spot = F.xxhash64("node")
+    i, j = F.pmod(spot, rows + 1).cast("int"), F.pmod(spot, columns + 1).cast("int")
+    seat = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    alone = F.array(seat(F.lit(0), F.lit(0), F.when(F.col("asks"), 3).otherwise(1)))
+    as_node = F.transform(F.sequence(F.lit(0), rows), lambda k: seat(k, j, F.lit(1)))
+    asking = F.transform(F.sequence(F.lit(0), columns), lambda k: seat(i, k, F.lit(2)))
+    many = F.when(F.col("asks"), F.concat(as_node, asking)).otherwise(as_node)
+    dealt = groups.withColumn("seat", F.explode(F.when(columns > 0, many).otherwise(alone)))
+    ready = dealt.select("*", "seat.*").drop("seat", "n", "asking", "asks").join(payload, "node")
+    return ready.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], columns: list[str], numbers: str):
+    """(center, nodes, asking nodes) of each block; a node is a tuple of columns and an array."""
+    key, nodes, asking = None, [], []
+    for batch in batches:
+        seats = zip(*(batch.column(c).to_pylist() for c in ("center", "i", "j")))
+        arrays = batch.column(numbers)
+        rows = zip(seats, batch.column("role").to_pylist(),
+                   zip(*(batch.column(c).to_pylist() for c in columns)))
+        for n, (seat, role, row) in enumerate(rows):
+            if seat != key:
+                if nodes and asking:
+                    yield key[0], nodes, asking
+                key, nodes, asking = seat, [], []
+            entry = (*row, arrays[n].values.to_numpy(zero_copy_only=False))
+            if role & 1:
+                nodes.append(entry)
+            if role & 2:
+                asking.append(entry)
+    if nodes and asking:
+        yield key[0], nodes, asking
+
+
+def partnered(around: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """center, node, weight of nodes that collide often enough with another one of their group."""
+    sizes = around.groupBy("center").agg(F.count("*").alias("n"))
+    groups = around.join(sizes, "center").withColumn("asking", F.col("n")).withColumn(
+        "asks", F.lit(True))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        blocks = by_block(batches, ["node", "weight", "n_shingles"], "values")
+        for center, nodes, asking in blocks:
+            theirs, size = np.array([n[3] for n in nodes]), np.array([n[2] for n in nodes])
+            names = np.array([n[0] for n in nodes])
+            step = max(1, (1 << 24) // theirs.size)
+            for at in range(0, len(asking), step):
+                some = asking[at:at + step]
+                same = (np.array([a[3] for a in some])[:, None, :] == theirs[None]).sum(axis=2)
+                mine = np.array([a[2] for a in some])[:, None]
+                fits = 100 * np.minimum(mine, size) >= percent * np.maximum(mine, size)
+                other = np.array([a[0] for a in some])[:, None] != names
+                for k in np.flatnonzero(((same >= MATCHES) & fits & other).any(axis=1)):
+                    out.append((center, some[k][0], some[k][1]))
+            if len(out) >= 10_000:
+                yield triples(out)
+                out = []
+        yield triples(out)
+
+    found = seated(groups, heads.select("node", "n_shingles", "values")).mapInArrow(
+        rows, "old bigint, node bigint, weight bigint").distinct()
+    centers = found.groupBy("old").agg(F.max_by("node", F.col("weight")).alias("center"))
+    return found.join(centers, "old").select("center", "node").distinct()
+
+
+def triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["old", "node", "weight"])
 
 
 def confirmed(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b with enough collisions and, on full sets, enough similarity."""
-    one = heads.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("values").alias("va"))
-    two = heads.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("values").alias("vb"))
+    one = heads.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"),
+                       F.col("values").alias("va"))
+    two = heads.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"),
+                       F.col("values").alias("vb"))
     near = pairs.join(one, "a").join(two, "b").where(
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         & (F.size(F.array_intersect("va", "vb")) >= MATCHES)).select("a", "b")
@@ -138,44 +235,71 @@ def confirmed(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int)
     return full.where(100 * same >= percent * union).select("a", "b")
 
 
-def with_components(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The lists with the component of each node, where they hold more than one."""
-    marked = lists.join(found, "node", "left").select(
-        "value", "node", F.coalesce("component", "node").alias("component"))
-    mixed = marked.groupBy("value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return marked.join(mixed.select("value"), "value", "left_semi")
+def divided(around: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups that are not one component yet: center, node, component, n, asking, asks.
+
+    Strays ask: nodes that are not connected with the center.
+    """
+    marked = around.join(found, "node", "left").select(
+        "center", "node", F.coalesce("component", "node").alias("component"))
+    home = marked.where("node = center").select("center", F.col("component").alias("home"))
+    strays = marked.join(home, "center").withColumn("asks", F.col("component") != F.col("home"))
+    sizes = strays.groupBy("center").agg(
+        F.count("*").alias("n"), F.count_if("asks").alias("asking")).where("asking > 0 and n > 2")
+    return strays.drop("home").join(sizes, "center")
+
+
+def blocked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between strays and other nodes of their group, on full sets."""
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for _, nodes, asking in by_block(batches, ["node", "component"], "shingles"):
+            out += linked(nodes, asking, percent)
+            if len(out) >= 10_000:
+                yield pairs_of(out)
+                out = []
+        yield pairs_of(out)
+
+    return seated(groups, sets).mapInArrow(compared, "a bigint, b bigint")
+
+
+def pairs_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def linked(nodes: list[tuple], asking: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links from each asking node, one for each component among the nodes it is similar to."""
+    if not nodes or not asking:
+        return []
+    sizes = np.array([len(s) for _, _, s in nodes])
+    flat, place = np.unique(np.concatenate([s for _, _, s in nodes]), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out = []
+    for node, component, own in asking:
+        mine = np.zeros(len(flat), np.int32)
+        at = np.minimum(np.searchsorted(flat, own), len(flat) - 1)
+        mine[at[flat[at] == own]] = 1
+        same = np.add.reduceat(mine[place], begin)
+        near = np.flatnonzero(100 * same >= percent * (sizes + len(own) - same))
+        others = {nodes[i][1]: nodes[i][0] for i in near if nodes[i][1] != component}
+        out += [(node, other) for other in others.values()]
+    return out
 
 
 def links(heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links a, b that connect all similar nodes; see the module's text."""
     lists = written(prefixes(heads), "lists")
-    keys = lists.select("node").distinct().join(heads.select("node", "_sum"), "node").select(
+    around = written(partnered(centered(lists), heads, percent), "groups")
+    keys = around.select("node").distinct().join(heads.select("node", "_sum"), "node").select(
         F.col("node").alias("_id"), "_sum")
     sets = written(shingle_sets(docs.join(keys, ["_id", "_sum"], "left_semi")
                                 .dropDuplicates(["_id", "_sum"]), width), "sets")
-
-    first = lists.groupBy("value").agg(F.min("node").alias("a"))
-    tested = written(lists.join(first, "value").where("node > a").select(
-        "a", F.col("node").alias("b")).distinct(), "pairs")
-    found = written(confirmed(tested, heads, sets, percent), "confirmed")
-
-    mixed = written(with_components(lists, components(found)), "mixed-lists")
-    least = mixed.groupBy("value").agg(F.min("component").alias("own"))
-    others = mixed.join(least, "value").where("component > own")
-    hub = others.groupBy("value").agg(
-        F.min("node").alias("hub"), F.min_by("component", "node").alias("its"))
-    more = mixed.join(hub, "value").where("component <> its").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = written(found.union(confirmed(more, heads, sets, percent)), "confirmed")
-
-    mixed = with_components(mixed.select("value", "node"), components(found))
-    other = mixed.select("value", F.col("node").alias("b"), F.col("component").alias("other"))
-    rest = mixed.withColumnRenamed("node", "a").join(other, "value").where(
-        "a < b and component <> other").select("a", "b").distinct()
-    rest = rest.join(tested.union(more), ["a", "b"], "left_anti")
-    return written(found.union(confirmed(rest, heads, sets, percent)), "confirmed")
+    pairs = around.where("node <> center").select(
+        F.col("center").alias("a"), F.col("node").alias("b"))
+    found = written(confirmed(pairs, heads, sets, percent), "confirmed")
+    apart = written(divided(around, components(found)), "divided")
+    return found.union(written(blocked(apart, sets, percent), "confirmed"))
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5,
