@@ -25,6 +25,8 @@ CLASSES[W.byte_class((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x20))] = SPACE
 # Contractions and special tokens begin with these; their whole stretch is encoded at once.
 CLASSES[[ord("'"), ord("<")]] = OTHER
 NOT_SPACE = CLASSES != SPACE
+#: A run of these bytes alone is one run of letters, one digit or one run of signs.
+SAFE = np.flatnonzero((CLASSES == LETTER) | (CLASSES == DIGIT) | (CLASSES == SIGN)).astype(np.uint8).tobytes()
 PROBES = ["hello", "A", "straße", "É", "7", "!!", "&&&", ".", "|", "no", "ÿ", "-", "é"]
 
 
@@ -115,22 +117,36 @@ def known(runs: list[bytes], path: str) -> list[bytes]:
         store.clear()
         new = runs
     tool = tokenizer(path)
-    plain = [r for r in new if all(c not in r for c in (b"'", b"<")) and r.isascii()
+    plain = [r for r in new if r.isascii() and not r.translate(None, SAFE)
              or CLASSES[r[0]] != OTHER and is_latin(r)]
-    if plain:
-        found = tool.encode(" ".join([r.decode() for r in plain]), add_special_tokens=False)
-        ids, owner = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
-        ends = np.searchsorted(owner, np.arange(len(plain) + 1))
-        if owner[-1] == len(plain) - 1:
-            raw = ids.tobytes()
-            store.update((r, raw[4 * a:4 * b]) for r, a, b in zip(
-                plain, ends[:-1].tolist(), ends[1:].tolist()))
+    store.update(joined(plain, tool))
     rest = [r for r in new if r not in store]
     for r, f in zip(rest, tool.encode_batch([r.decode() for r in rest], add_special_tokens=False)):
         store[r] = np.array(f.ids, np.uint32).tobytes()
     return [store[r] for r in runs]
 
 
+def joined(plain: list[bytes], tool) -> dict[bytes, bytes]:
+    """The ids of runs encoded in one text; nothing unless every run is exactly one of its words."""
+    if not plain:
+        return {}
+    texts = [r.decode() for r in plain]
+    found = tool.encode(" ".join(texts), add_special_tokens=False)
+    if not found.ids or None in found.word_ids:
+        return {}
+    ids, owner = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
+    at = np.searchsorted(owner, np.arange(len(plain) + 1))
+    if owner[-1] != len(plain) - 1 or (np.diff(owner) < 0).any() or (np.diff(at) == 0).any():
+        return {}
+    lengths = np.array([len(t) for t in texts])
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    places = np.array(found.offsets, np.int64)
+    if (places[at[:-1], 0] != begins).any() or (places[at[1:] - 1, 1] != begins + lengths).any():
+        return {}
+    raw = ids.tobytes()
+    return {r: raw[4 * a:4 * b] for r, a, b in zip(plain, at[:-1].tolist(), at[1:].tolist())}
+
+
 def is_latin(run: bytes) -> bool:
     """Whether a run is one run of letters of the fast path."""
     return run.isalpha() if run.isascii() else all(

@@ -126,6 +126,24 @@ def test_token_ids_equal_those_of_whole_texts():
         assert ids[ends[i]:ends[i + 1]].tolist() == whole, text
 
 
+@pytest.mark.parametrize("text", [
+    "hello \x0c world price end.\x0c last", "a \x0b b\x0cc d", "one \x0c two \x00abc three", "\x0c", "\x7f 12\x0c \x0c z"])
+def test_token_ids_beside_control_characters(monkeypatch, text):
+    monkeypatch.setattr(tokens, "_known", {})
+    whole = tokens.tokenizer(TOKENIZER).encode
+    for t in (text, *text.split(" ")):
+        ids, counts = tokens.encode(W.text_of(pa.array([t])), TOKENIZER)
+        assert ids.tolist() == whole(t, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
+def test_runs_that_are_not_one_word_each_are_not_cut_from_a_joined_text():
+    tool = tokens.tokenizer(TOKENIZER)
+    assert tokens.joined([b"hello", b"&&", b"7", "straße".encode()], tool)
+    # Numbers of words that cancel, no word at all, and bounds that differ with equal numbers.
+    for runs in ([b"a", b"\x0c", b"b", b"end.", b"c"], [b"\x0c"], [b"a b", b"\x0c"], [b"a", b"\x0c", b"b."]):
+        assert tokens.joined(runs, tool) == {}
+
+
 def archive(path, wide):
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
         z.comment = b"a comment with PK\x05\x06 inside"
