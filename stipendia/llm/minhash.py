@@ -22,9 +22,10 @@ length, and comparisons of its strays with its members inside blocks.
 Every link is confirmed on full sets. The components of links are found with star contraction.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing;
-a text of fewer words than a shingle has one shingle, all of them; an id stands for one document:
-rows that repeat it are in one component, and if their texts differ, the text with the smallest
-hash stands for it in comparisons; a null id counts as the smallest; an empty table gives an empty one.
+a text of fewer words than a shingle has one shingle, all of them; rows of equal id and text are one
+document, and of those with words one row stays; rows of one id, or of no id, with different texts are
+different documents, each searched and compared; the smallest id stays, of equal ids the text with the
+smallest hash; a null id counts as the smallest; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stipendia.llm import words as W
@@ -95,28 +96,42 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """node (the _id) and its full set of shingles."""
+    """node and its full set of shingles."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in W.slices(batches, "_text"):
             owner, keys = shingles(texts, width)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays([
-                part.column("_id"),
+                part.column("node"),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))],
                 names=["node", "shingles"])
 
-    return docs.select("_id", "_text").mapInArrow(rows, "node bigint, shingles array<bigint>")
+    return docs.select("node", "_text").mapInArrow(rows, "node bigint, shingles array<bigint>")
 
 
 def members(docs: DataFrame, width: int) -> DataFrame:
-    """Every row with its node: the smallest id that has an equal set."""
+    """Every row with head_id, head_sum: the document of the smallest id, then hash, of an equal set.
+
+    Rows without words are their own heads. Only heads have `values`.
+    """
     signed = written(signatures(docs, width), "signatures")
-    nodes = signed.groupBy("mark", "mark2", "n_shingles").agg(F.min("_id").alias("node"))
-    joined = signed.join(nodes, ["mark", "mark2", "n_shingles"])
-    own = F.when(F.col("_id") == F.col("node"), F.col("values"))
-    return written(joined.select(
-        "_id", "_sum", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(
-            F.col("_id")).alias("node"), own.alias("values")), "nodes")
+    first = signed.groupBy("mark", "mark2", "n_shingles").agg(
+        F.min(F.struct("_id", "_sum")).alias("first"))
+    head = lambda c: F.when(F.col("n_shingles") > 0, F.col(f"first.{c}")).otherwise(F.col(c))
+    joined = signed.join(first, ["mark", "mark2", "n_shingles"]).select(
+        "_id", "_sum", "n_shingles", head("_id").alias("head_id"), head("_sum").alias("head_sum"), "values")
+    return written(joined.withColumn("values", F.when(is_head(), F.col("values"))), "nodes")
+
+
+def is_head() -> Column:
+    return (F.col("_id") == F.col("head_id")) & (F.col("_sum") == F.col("head_sum"))
+
+
+def numbered(every: DataFrame) -> DataFrame:
+    """The heads with words, each once: node (its number, fixed by writing), _id, _sum, n_shingles, values."""
+    heads = every.where(is_head() & (F.col("n_shingles") > 0)).dropDuplicates(["_id", "_sum"])
+    return written(heads.select(F.monotonically_increasing_id().alias("node"),
+                                "_id", "_sum", "n_shingles", "values"), "heads")
 
 
 def prefixes(heads: DataFrame) -> DataFrame:
@@ -291,9 +306,8 @@ def links(heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     """Confirmed links a, b that connect all similar nodes; see the module's text."""
     lists = written(prefixes(heads), "lists")
     around = written(partnered(centered(lists), heads, percent), "groups")
-    keys = around.select("node").distinct().join(heads.select("node", "_sum"), "node").select(
-        F.col("node").alias("_id"), "_sum")
-    sets = written(shingle_sets(docs.join(keys, ["_id", "_sum"], "left_semi")
+    keys = around.select("node").distinct().join(heads.select("node", "_id", "_sum"), "node")
+    sets = written(shingle_sets(docs.join(keys, ["_id", "_sum"])
                                 .dropDuplicates(["_id", "_sum"]), width), "sets")
     pairs = around.where("node <> center").select(
         F.col("center").alias("a"), F.col("node").alias("b"))
@@ -302,25 +316,46 @@ def links(heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     return found.union(written(blocked(apart, sets, percent), "confirmed"))
 
 
+def smallest(found: DataFrame, heads: DataFrame) -> DataFrame:
+    """Heads in components, with component, component_sum: its document of the smallest id, then hash."""
+    named = found.join(heads.select("node", "_id", "_sum"), "node")
+    first = named.groupBy("component").agg(F.min(F.struct("_id", "_sum")).alias("first"))
+    return named.join(first, "component").select(
+        F.col("_id").alias("head_id"), F.col("_sum").alias("head_sum"),
+        F.col("first._id").alias("component"), F.col("first._sum").alias("component_sum"))
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5,
            percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, _id, _sum, n_shingles, component (an _id), kept."""
+    """One row a document: doc_id, _id, _sum, n_shingles, component (an _id), kept.
+
+    Of a component the rows of one id and text are `kept`; see the module's text.
+    """
     plain = identified(docs, id_column, text)
     every = members(plain, width)
-    heads = every.where("_id = node and n_shingles > 0").groupBy("node").agg(
-        F.min("_sum").alias("_sum"))
-    heads = written(every.where("_id = node and n_shingles > 0").join(
-        heads, ["node", "_sum"], "left_semi").dropDuplicates(["node"]).select(
-        "node", "_sum", "n_shingles", "values"), "heads")
-    found = components(links(heads, plain, width, percent))
-    joined = every.join(found, "node", "left").select(
-        "_id", "_sum", "n_shingles", F.coalesce("component", "node").alias("component"))
-    return joined.select(given_id().alias("doc_id"), "*",
-                         (F.col("_id") == F.col("component")).alias("kept"))
+    heads = numbered(every)
+    found = smallest(components(links(heads, plain, width, percent)), heads)
+    joined = every.join(found, ["head_id", "head_sum"], "left").select(
+        "_id", "_sum", "n_shingles", F.coalesce("component", "head_id").alias("component"),
+        F.coalesce("component_sum", "head_sum").alias("component_sum"))
+    return joined.select(
+        given_id().alias("doc_id"), "_id", "_sum", "n_shingles", "component",
+        ((F.col("_id") == F.col("component")) & (F.col("_sum") == F.col("component_sum"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                  width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The document of the smallest id in each group, with the columns it had."""
-    kept = groups(docs, id_column, text, width, percent).where("kept").select("_id", "_sum")
-    return restored(keyed(docs, id_column, text).join(kept, ["_id", "_sum"], "left_semi"), docs)
+    """The document of the smallest id in each group, and all rows without words, with the columns they had.
+
+    Of rows that repeat its id and text the one with the smallest hash of all other columns stays.
+    """
+    kept = groups(docs, id_column, text, width, percent).where("kept and n_shingles > 0").select(
+        "_id", "_sum").distinct()
+    rows = keyed(docs, id_column, text)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    body = f"c{docs.columns.index(text)}"
+    worded = F.coalesce(F.col(body).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    mark = F.xxhash64(F.to_json(F.struct(*(c for c in own if c != body))))
+    one = rows.where(worded).groupBy("_id", "_sum").agg(F.min_by(F.struct(*own), mark).alias("row"))
+    single = one.join(kept, ["_id", "_sum"], "left_semi").select("row.*")
+    return restored(single.union(rows.where(~worded).select(*own)), docs)

@@ -224,6 +224,27 @@ def test_near_duplicates_of_awkward_rows(awkward, empty, width=5):
     assert minhash.groups(empty).count() == 0
 
 
+def test_near_duplicates_without_ids_and_with_repeated_ids(spark):
+    # Each text has a near copy (one word of 80 differs) and all rows have a null id or the id 7.
+    plain = [" ".join(f"d{n}x{i}" for i in range(80)) for n in range(4)]
+    near = [f"{t[:t.rindex(' ')]} other" for t in plain]
+    docs = [(i, t, s) for i in (None, 7) for t in plain + near + plain[:1] for s in ("a", "b")]
+    docs += [(9, near[2], "a"), (10, near[3], "b"), (11, "alone", "a"),
+             (None, "", "a"), (None, "", "b"), (None, None, "c")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    found = minhash.groups(frame).collect()
+    assert len(found) == len(docs)
+    assert {r.doc_id: r.kept for r in found if r.doc_id} == {7: False, 9: False, 10: False, 11: True}
+    assert {r.component for r in found if r.doc_id in (7, 9, 10)} == {-2**63}
+    kept = minhash.deduplicated(frame)
+    assert kept.columns == frame.columns
+    kept = [tuple(r) for r in kept.collect()]
+    assert sorted(k[2] for k in kept if not k[1]) == ["a", "b", "c"]
+    worded = [k for k in kept if k[1] and k[0] is None]
+    assert sorted(k[1].split(" ")[0] for k in worded) == ["d0x0", "d1x0", "d2x0", "d3x0"]
+    assert [k for k in kept if k[0]] == [(11, "alone", "a")]
+
+
 def test_near_duplicates_of_chains_and_crowds(spark, monkeypatch):
     # Small blocks, so that groups are dealt to several.
     monkeypatch.setattr(minhash, "BLOCK", 7)
