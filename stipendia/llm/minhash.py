@@ -149,10 +149,15 @@ def prefixes(heads: DataFrame) -> DataFrame:
     return merged.select(F.col("s.value").alias("value"), "node", "weight")
 
 
+def heaviest() -> Column:
+    """The node of the largest weight, of equal ones the largest node: no tie depends on the order of rows."""
+    return F.max_by("node", F.struct("weight", "node"))
+
+
 def centered(lists: DataFrame) -> DataFrame:
     """center, node, weight: the nodes of all lists of each center, with itself."""
     centers = lists.groupBy("value").agg(
-        F.max_by("node", F.col("weight")).alias("center"), F.count("*").alias("n")).where("n > 1")
+        heaviest().alias("center"), F.count("*").alias("n")).where("n > 1")
     return lists.join(centers.drop("n"), "value").select("center", "node", "weight").distinct()
 
 
@@ -223,9 +228,9 @@ def partnered(around: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
                 out = []
         yield triples(out)
 
-    found = seated(groups, heads.select("node", "n_shingles", "values")).mapInArrow(
-        rows, "old bigint, node bigint, weight bigint").distinct()
-    centers = found.groupBy("old").agg(F.max_by("node", F.col("weight")).alias("center"))
+    found = written(seated(groups, heads.select("node", "n_shingles", "values")).mapInArrow(
+        rows, "old bigint, node bigint, weight bigint").distinct(), "partners")
+    centers = found.groupBy("old").agg(heaviest().alias("center"))
     return found.join(centers, "old").select("center", "node").distinct()
 
 
@@ -305,7 +310,8 @@ def linked(nodes: list[tuple], asking: list[tuple], percent: int) -> list[tuple[
 def links(heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links a, b that connect all similar nodes; see the module's text."""
     lists = written(prefixes(heads), "lists")
-    around = written(partnered(centered(lists), heads, percent), "groups")
+    listed = written(centered(lists), "around")
+    around = written(partnered(listed, heads, percent), "groups")
     keys = around.select("node").distinct().join(heads.select("node", "_id", "_sum"), "node")
     sets = written(shingle_sets(docs.join(keys, ["_id", "_sum"])
                                 .dropDuplicates(["_id", "_sum"]), width), "sets")

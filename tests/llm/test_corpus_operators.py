@@ -245,6 +245,22 @@ def test_near_duplicates_without_ids_and_with_repeated_ids(spark):
     assert [k for k in kept if k[0]] == [(11, "alone", "a")]
 
 
+def test_centers_of_equal_weight_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(v, node, 5) for v in range(3) for node in range(4)]
+    for some in (rows, rows[::-1]):
+        lists = spark.createDataFrame(some, "value long, node long, weight long").coalesce(1)
+        assert {(r.center, r.node) for r in minhash.centered(lists).collect()} == {(3, n) for n in range(4)}
+
+
+def test_centers_and_partners_are_written_before_they_are_used_twice(spark, monkeypatch):
+    names, plain = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: names.append(name) or plain(df, name))
+    text = " ".join(f"x{i}" for i in range(80))
+    frame = spark.createDataFrame([(1, text), (2, f"{text} y")], "doc_id long, text string")
+    assert {r.component for r in minhash.groups(frame).collect()} == {1}
+    assert {"around", "partners"} <= set(names)
+
+
 def test_near_duplicates_of_chains_and_crowds(spark, monkeypatch):
     # Small blocks, so that groups are dealt to several.
     monkeypatch.setattr(minhash, "BLOCK", 7)
