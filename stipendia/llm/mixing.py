@@ -4,9 +4,10 @@ Tokens are summed per cell, a combination of source, language and topic: one shu
 combined before it. From there on only cells are handled. A sweep scales the weights of all cells to the
 target share of each source, then language, then topic; sweeps go on until all shares are met within
 TOLERANCE, or SWEEPS are done. A document's probability is proportional to the raked weight of its cell
-over the cell's tokens, and scaled so that a given share of all tokens is kept. No document is taken
+over the cell's tokens, and scaled so that a given share of all tokens is kept (without one, the largest
+share that meets the targets; all tokens, if they are met already). No document is taken
 twice: a cell that would need more than it has is kept whole, and the others share the rest in
-proportion to their weights. The draw of a document is a hash of its id, so that it can be repeated.
+proportion to their weights, so a large share can miss its targets; `shares` lists what is reached. The draw of a document is a hash of its id, so that it can be repeated.
 
 Everything is DataFrame expressions. Cells are written after some sweeps, so plans stay short. Documents get the
 probability of their cell by one join, which adaptive execution splits or broadcasts by size.
@@ -97,17 +98,21 @@ def scaled(state: DataFrame, name: str, i: int) -> DataFrame:
     return state.withColumn("weight", F.col("weight") * factor)
 
 
-def probabilities(cells: DataFrame, margins: list[str], keep: float) -> DataFrame:
+def probabilities(cells: DataFrame, margins: list[str], keep: float | None) -> DataFrame:
     """The cells with the probability of keeping one of their documents.
 
     It is proportional to the raked weight over the tokens, at most 1, and scaled so that the
     expected tokens are the share `keep` of those in cells that may be kept. The scale is a fixed
-    point: cells that reach 1 are set aside and the others share what is left.
+    point: cells that reach 1 are set aside and the others share what is left. Without `keep` it is
+    the largest at which no cell needs more than it has.
     """
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     ready = written(cells.select(*margins, "tokens", factor.alias("factor")), "factors")
     scale, tokens, usable = 0.0, F.col("tokens").cast("double"), F.col("factor") > 0
-    for _ in range(MOST_STEPS):
+    if keep is None:
+        most = ready.where(usable).agg(F.max("factor")).first()[0]
+        scale = 1 / most if most else scale
+    for _ in range(MOST_STEPS if keep is not None else 0):
         full = F.col("factor") * scale >= 1
         total, held, rest = ready.where(usable).agg(
             F.sum(tokens), F.sum(F.when(full, tokens).otherwise(0.0)),
@@ -129,7 +134,7 @@ def draw(id_: Column, seed: str) -> Column:
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
           source: str = "source", language: str = "lang", seed: str = "mix",
-          temperature: float = TEMPERATURE, keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+          temperature: float = TEMPERATURE, keep: float | None = KEEP, sweeps: int = SWEEPS) -> DataFrame:
     """All documents with _source, _lang, _topic, _tokens, _probability and _kept beside their columns.
 
     Own columns are c0, c1, ... so that no name clashes.
@@ -149,6 +154,22 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return joined.withColumn("_kept", draw(at[id_column], seed) < F.col("_probability"))
 
 
+def shares(found: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+    """margin, value, target, reached: shares of tokens, wanted and expected, of what `mixed` returned."""
+    margins = ["_source", "_lang", "_topic"]
+    cells = written(found.groupBy(*margins).agg(
+        F.sum("_tokens").alias("tokens"),
+        F.sum(F.col("_tokens") * F.col("_probability")).alias("expected")), "shares")
+    total = cells.agg(F.sum("expected").alias("total"))
+    parts = []
+    for m in margins:
+        held = cells.groupBy(F.col(m).alias("held")).agg(F.sum("expected").alias("n")).crossJoin(total)
+        parts.append(tempered(cells, m, temperature).join(held, F.col("value").eqNullSafe(F.col("held"))).select(
+            F.lit(m[1:]).alias("margin"), F.col("value").cast("string").alias("value"),
+            F.col("share").alias("target"), (F.col("n") / F.col("total")).alias("reached")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def sampled(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The drawn documents, with the columns they had."""
     found = mixed(docs, id_column, text, **options).where("_kept")

@@ -308,6 +308,21 @@ def test_mixing_meets_its_targets(spark, awkward, empty, monkeypatch):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_without_a_share_meets_its_targets_and_lists_what_is_reached(spark):
+    one = spark.createDataFrame([(i, "a b c", "en", "s") for i in range(20)],
+                                "doc_id long, text string, lang string, source string")
+    assert mixing.sampled(one, keep=None, sweeps=4).count() == 20
+    rare = [(i, "a b c", "en", "big") for i in range(99)] + [(99, "a b c", "en", "rare")]
+    docs = spark.createDataFrame(rare, one.schema)
+    for keep, meets in ((None, True), (0.5, False)):
+        found = {(r.margin, r.value): r for r in
+                 mixing.shares(mixing.mixed(docs, keep=keep, sweeps=4)).collect()}
+        for r in found.values():
+            assert (abs(r.target - r.reached) < 1e-6) == (meets or r.margin != "source")
+    assert 0.09 < found[("source", "rare")].target < 0.1
+    assert abs(found[("source", "rare")].reached - 0.02) < 1e-6
+
+
 def test_targets_without_documents_and_documents_without_targets(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 5), (None, "x", 7), ("c", "x", 0)],
                                   "s string, l string, tokens long")
