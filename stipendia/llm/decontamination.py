@@ -2,15 +2,16 @@
 
 The hashes of all runs of GRAM words are computed, and of every SPAN = GRAM + WINDOW - 1
 consecutive words the smallest one is kept as a fingerprint. Two texts that share SPAN words
-therefore share a fingerprint. Fingerprints of documents are joined with those of the benchmark,
-and each hit is extended: all windows of SPAN words around it are compared word by word.
+therefore share a fingerprint. Fingerprints of documents are tested against a bitmap of those of the
+benchmark, not joined with them. Each hit is extended to all windows of SPAN words around it, and
+these are joined with the benchmark's windows as text, so the result is exact.
 
 An item of fewer words than SPAN is one window of its own length; documents are then looked
 up by the hash of every run of that length, of which there are at most SPAN - 1 lengths.
 
 A bitmap of fixed size (FILTER_BITS, whatever the benchmark holds) goes to all tasks and says
-which fingerprints cannot be in the benchmark. It only saves work: the joins decide, and with
-a benchmark so large that every bit is set, all windows go to the joins.
+which fingerprints cannot be in the benchmark. It only saves work: the join of windows decides, and
+with a benchmark so large that every bit is set, all windows go to that join.
 
 Defined cases: a null or empty text, of a document or an item, has no words and no windows;
 repeated documents get equal rows; items of equal words are all listed; the ids of repeated items count
