@@ -175,6 +175,27 @@ SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens,
 FROM d LEFT JOIN p USING (source, lang, topic)
 """
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS digest,
+             regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+        CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (len(u) + 1) AS c1,
+        CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+               OR CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+             WHEN CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm'
+             ELSE 'psm' END AS form FROM d),
+cut AS (SELECT doc_id, t, n, form, array_to_string(u[1:least(c1, c2)], '') AS p,
+          array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+          array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM h)
+SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars,
+  CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+         ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
+
 QUERIES = {"op2_decontamination": OP2, "op4_warc": OP4, "op5_quality_rules": OP5, "op7_substring_dedup": OP7,
            "op8_minhash": OP8, "op9_mixing": OP9,
-           "op10_line_dedup": OP10}
+           "op10_line_dedup": OP10, "op12_fill_middle": OP12}

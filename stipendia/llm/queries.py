@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipendia.llm import (
-    decontamination, line_dedup, minhash, mixing, neighbours, pii, quality_rules,
-    substring_dedup, token_output, warc,
+    decontamination, fill_middle, line_dedup, minhash, mixing, neighbours, packing, periodic_runs, pii,
+    quality_rules, substring_dedup, token_output, warc,
 )
 from stipendia.llm.tables import given_id, table
 
@@ -76,6 +79,41 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.summary(packing.packed(table(spark, folder, "documents"), TOKENIZER, end=0))
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return fill_middle.transformed(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("text"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def planted(doc: int | None, n: int) -> np.ndarray | None:
+    """Gives a tenth of the texts a periodic end: the word to take for each place."""
+    if doc is None or not n or (h := zlib.crc32(str(doc).encode())) % 10:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    places = np.arange(n)
+    return np.where(places < first, places, first + (places - first) % period)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic_runs.collapsed(docs, order=planted).withColumn(
+        "best", periodic_runs.strongest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -87,4 +125,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_packing": op11_packing,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
