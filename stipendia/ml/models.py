@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stipendia.ml import penalty
 from stipendia.ml.cells import (
-    COUNT, MEAN, TARGET, Scale, cells, label_scale, outcomes, pieces, weighted_metrics,
+    COUNT, MEAN, TARGET, cells, label_scale, outcomes, pieces, weighted_metrics,
 )
 from stipendia.ml.preprocess import FEATURES, feature_names, fit_preprocessor
 from stipendia.plans.features import model_columns
@@ -19,32 +21,12 @@ from stipendia.sources.payroll import load_optional
 
 # Default penalties and model settings.
 DEFAULT_ALPHA = {"linear": 0.0, "ridge": 1.0, "lasso": 0.001, "elasticnet": 0.001}
-L1_SHARE = {"linear": 0.0, "ridge": 0.0, "lasso": 1.0, "elasticnet": 0.5}
 FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 42}
 MIN_SPLIT_ROWS = 50
 BOOSTING = {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "seed": 42}
 COLUMNS = {"featuresCol": FEATURES, "labelCol": MEAN, "weightCol": COUNT}
 
 
-def linear(kind: str, alpha: float, scale: Scale) -> LinearRegression:
-    """A linear model with a penalty given as in least squares on n records.
-
-    Ridge adds alpha * |w|^2 to the sum of squares; lasso and elastic net add their penalty
-    to half the mean of squares. The solver iterates at every width, so nothing that grows
-    with the square of the features is gathered. It divides the squared part of the penalty by the
-    sample deviation of the label.
-    """
-    if kind == "ridge":
-        absolute, squared = 0.0, alpha * scale.sample / scale.rows
-    else:
-        absolute = alpha * L1_SHARE[kind]
-        squared = alpha * (1 - L1_SHARE[kind]) * scale.sample
-    total = absolute + squared
-    return LinearRegression(
-        solver="l-bfgs", standardization=False, maxIter=1000, tol=1e-7,
-        regParam=total, elasticNetParam=absolute / total if total else 0.0, **COLUMNS)
-
-
 def forest(rows: float) -> RandomForestRegressor:
     """Splits need 50 records, so a leaf gets at least about half of that."""
     if rows <= MIN_SPLIT_ROWS:
@@ -58,14 +40,9 @@ def boosting(**parameters) -> GBTRegressor:
     return GBTRegressor(**COLUMNS, **{**BOOSTING, **parameters})
 
 
-def estimator(kind: str, data: DataFrame, alpha: float | None = None):
-    """The estimator of a kind for given cells; penalties depend on their number of records."""
-    if kind == "gbt":
-        return boosting()
-    scale = label_scale(data)
-    if kind == "rf":
-        return forest(scale.rows)
-    return linear(kind, DEFAULT_ALPHA[kind] if alpha is None else alpha, scale)
+def estimator(kind: str, data: DataFrame):
+    """The estimator of trees of a kind for given cells."""
+    return boosting() if kind == "gbt" else forest(label_scale(data).rows)
 
 
 @dataclass
@@ -77,6 +54,11 @@ class Setup:
     preprocessor: PipelineModel
     training: DataFrame
 
+    @cached_property
+    def products(self) -> penalty.Products:
+        """Sums of products of the training cells; all linear models start from them."""
+        return penalty.products(self.training)
+
     def cells(self, df: DataFrame, *keep: str) -> DataFrame:
         return self.preprocessor.transform(cells(df, self.categorical, self.numeric, *keep))
 
@@ -104,14 +86,21 @@ def predict(pipeline: PipelineModel, rows: DataFrame, year: int | None = None) -
     return score_with_errors(scored)
 
 
-def fitted(kind: str, data: DataFrame, alpha: float | None = None):
-    """A model of a kind on cells; a forest draws its bootstrap over pieces of cells."""
-    chosen = estimator(kind, data, alpha)
-    return chosen.fit(pieces(data, label_scale(data).rows) if kind == "rf" else data)
+def fitted(kind: str, data: DataFrame):
+    """Trees on cells; a forest draws its bootstrap over pieces of cells."""
+    return estimator(kind, data).fit(pieces(data, label_scale(data).rows) if kind == "rf" else data)
+
+
+def train_linear(setup: Setup, alphas: dict[str, float | None]) -> dict[str, LinearRegressionModel]:
+    """Models of the linear family on all training records, with their default penalty for None."""
+    grids = {kind: [DEFAULT_ALPHA[kind] if alpha is None else alpha] for kind, alpha in alphas.items()}
+    found = penalty.fit(setup.products, grids, [-1])
+    return {kind: penalty.model(setup.training.sparkSession, fit.weights[0, 0], fit.intercepts[0, 0])
+            for kind, fit in found.items()}
 
 
 def train_model(kind: str, setup: Setup, alpha: float | None = None):
-    return fitted(kind, setup.training, alpha)
+    return train_linear(setup, {kind: alpha})[kind] if kind in DEFAULT_ALPHA else fitted(kind, setup.training)
 
 
 def feature_importance(spark: SparkSession, model, transformed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from statistics import fmean, pstdev
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipendia.ml import models
+from stipendia.ml import models, penalty
 from stipendia.ml.cells import cell_r2, label_scale
 from stipendia.operators.folds import contiguous_folds, group_folds
 
@@ -66,14 +66,19 @@ def _fold_scores(data: DataFrame, k: int, candidates: list, fit) -> list[list[fl
     return [flat[i * k:(i + 1) * k] for i in range(len(candidates))]
 
 
-def tune_alpha(kind: str, folded: DataFrame, k: int) -> dict[str, float]:
-    """The penalty with the best mean r2 over the folds; refit with models.train_model."""
-    grid = alphas(kind)
-    scores = _fold_scores(folded, k, grid, lambda alpha, part, scale: models.linear(
-        kind, alpha, scale).fit(part))
-    means = [fmean(s) for s in scores]
-    best = max(range(len(grid)), key=means.__getitem__)
-    return {"best_alpha": grid[best], "best_cv_r2": means[best]}
+def tune_alphas(folded: DataFrame, k: int, kinds: list[str]) -> dict[str, dict[str, float]]:
+    """For each kind the penalty with the best mean r2 over the folds, all from one pass over the cells.
+
+    Refit with models.train_model.
+    """
+    sums = penalty.products(folded, k)
+    scores = penalty.held_out_r2(sums, found := penalty.fit(sums, {kind: alphas(kind) for kind in kinds}))
+    out = {}
+    for kind in kinds:
+        means = scores[kind].mean(axis=0).tolist()
+        best = max(range(len(means)), key=means.__getitem__)
+        out[kind] = {"best_alpha": found[kind].alphas[best], "best_cv_r2": means[best]}
+    return out
 
 
 def tune_boosting(folded: DataFrame, k: int, points: list[dict] | None = None) -> dict:
@@ -84,7 +89,17 @@ def tune_boosting(folded: DataFrame, k: int, points: list[dict] | None = None) -
     return {**points[best], "best_cv_r2": means[best]}
 
 
-def cross_validate(kind: str, folded: DataFrame, k: int, alpha: float | None = None) -> dict:
-    """Refit on the folds of the given table; mean and population deviation of r2."""
-    scores, = _fold_scores(folded, k, [alpha], lambda a, part, _: models.fitted(kind, part, a))
-    return {"model": kind, "mean_r2": fmean(scores), "std_r2": pstdev(scores)}
+def cross_validate(folded: DataFrame, k: int, kinds: dict[str, float | None]) -> list[dict]:
+    """Refit on the folds of the given table, with the default penalty for None; mean and population
+    deviation of r2."""
+    chosen = {kind: [models.DEFAULT_ALPHA[kind] if alpha is None else alpha] for kind, alpha in kinds.items()
+              if kind in models.DEFAULT_ALPHA}
+    scores = {}
+    if chosen:
+        sums = penalty.products(folded, k)
+        scores = {kind: r2[:, 0].tolist() for kind, r2 in penalty.held_out_r2(
+            sums, penalty.fit(sums, chosen)).items()}
+    for kind in kinds:
+        if kind not in chosen:
+            scores[kind], = _fold_scores(folded, k, [kind], lambda name, part, _: models.fitted(name, part))
+    return [{"model": kind, "mean_r2": fmean(scores[kind]), "std_r2": pstdev(scores[kind])} for kind in kinds]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -273,9 +273,8 @@ def _splits(t: Tables) -> list[DataFrame]:
     return [features.split_of(t.training, name) for name in ("train", "valid", "test")]
 
 
-# Fitted preprocessing and scores per folder: a model is trained once per application.
+# Fitted preprocessing per folder, with the training cells and their sums of products.
 _FITTED: dict[tuple[str, str], models.Setup] = {}
-_SCORES: dict[tuple, Row] = {}
 
 
 def _key(t: Tables) -> tuple[str, str]:
@@ -290,13 +289,11 @@ def _setup(t: Tables) -> models.Setup:
 
 def _evaluated(t: Tables, *kinds: str) -> DataFrame:
     """Each kind of model trained on the training years and scored on the test year."""
-    rows = []
-    for kind in kinds:
-        key = (*_key(t), kind)
-        if key not in _SCORES:
-            model = models.train_model(kind, _setup(t))
-            _SCORES[key] = _setup(t).evaluate(model, _splits(t)[2]).first()
-        rows.append({"model": kind, **_SCORES[key].asDict()})
+    setup = _setup(t)
+    linear = [kind for kind in kinds if kind in models.DEFAULT_ALPHA]
+    found = models.train_linear(setup, dict.fromkeys(linear)) if linear else {}
+    found.update({kind: models.train_model(kind, setup) for kind in kinds if kind not in found})
+    rows = [{"model": kind, **setup.evaluate(found[kind], _splits(t)[2]).first().asDict()} for kind in kinds]
     return t.spark.createDataFrame(
         rows, "model string, rows long, r2 double, rmse double, mae double")
 
@@ -315,11 +312,12 @@ _TUNED: dict[tuple, dict] = {}
 
 
 def _tuned(t: Tables, kind: str, k: int = 3) -> dict:
-    """The best settings of a kind over k folds of the training years."""
+    """The best settings of a kind over k folds of the training years; the penalties are searched together."""
     if (*_key(t), kind) not in _TUNED:
         folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
-        _TUNED[(*_key(t), kind)] = tuning.tune_boosting(folded, k) if kind == "gbt" else \
-            tuning.tune_alpha(kind, folded, k)
+        found = {"gbt": tuning.tune_boosting(folded, k)} if kind == "gbt" else \
+            tuning.tune_alphas(folded, k, list(tuning.ALPHA_EXPONENTS))
+        _TUNED.update({(*_key(t), name): value for name, value in found.items()})
     return _TUNED[(*_key(t), kind)]
 
 
@@ -337,10 +335,9 @@ def _leaderboard(t: Tables) -> DataFrame:
 
     Ridge, lasso and boosting are tuned by cross-validation before.
     """
-    found = {"linear": models.train_model("linear", _setup(t)),
-             "rf": models.train_model("rf", _setup(t))}
-    for kind in ("ridge", "lasso"):
-        found[kind] = models.train_model(kind, _setup(t), _tuned(t, kind)["best_alpha"])
+    found = models.train_linear(_setup(t), {
+        "linear": None, **{kind: _tuned(t, kind)["best_alpha"] for kind in ("ridge", "lasso")}})
+    found["rf"] = models.train_model("rf", _setup(t))
     tuned = {name: value for name, value in _tuned(t, "gbt").items() if name != "best_cv_r2"}
     found["gbt"] = models.boosting(**tuned).fit(_setup(t).training)
     scores = {kind: _setup(t).evaluate(model, _splits(t)[2]).first() for kind, model in found.items()}
@@ -354,13 +351,13 @@ def _leaderboard(t: Tables) -> DataFrame:
 
 def _group_validated(t: Tables, k: int = 5) -> DataFrame:
     folded = tuning.group_folded_cells(_setup(t), _splits(t)[1], k, *recipes.STRATUM)
-    rows = [tuning.cross_validate(kind, folded, k) for kind in ("ridge", "lasso")]
+    rows = tuning.cross_validate(folded, k, {"ridge": None, "lasso": None})
     return t.spark.createDataFrame(rows, "model string, mean_r2 double, std_r2 double")
 
 
 def _cross_validated(t: Tables, k: int = 5) -> DataFrame:
     folded = tuning.folded_cells(_setup(t), _splits(t)[1], k)
-    rows = [tuning.cross_validate(kind, folded, k) for kind in models.DEFAULT_ALPHA]
+    rows = tuning.cross_validate(folded, k, dict.fromkeys(models.DEFAULT_ALPHA))
     return t.spark.createDataFrame(rows, "model string, mean_r2 double, std_r2 double")
 
 
@@ -377,8 +374,7 @@ def _saved(t: Tables) -> DataFrame:
     """The registry of the linear family, fitted once, saved and scored on the test year."""
     if _key(t) not in _MODELS or not session.exists(t.spark, _MODELS[_key(t)]):
         folder = session.scratch_path(t.spark, "models")
-        for kind in models.DEFAULT_ALPHA:
-            model = models.train_model(kind, _setup(t))
+        for kind, model in models.train_linear(_setup(t), dict.fromkeys(models.DEFAULT_ALPHA)).items():
             score = _setup(t).evaluate(model, _splits(t)[2]).first()
             models.save_model(t.spark, _setup(t).pipeline(model), folder, kind, test_r2=score.r2)
         _MODELS[_key(t)] = folder
@@ -412,7 +408,7 @@ def _request_trajectories(t: Tables) -> DataFrame:
 
 def _validated_trees(t: Tables, k: int = 3) -> DataFrame:
     folded = tuning.folded_cells(_setup(t), _splits(t)[1], k)
-    rows = [tuning.cross_validate(kind, folded, k) for kind in ("rf", "gbt")]
+    rows = tuning.cross_validate(folded, k, {"rf": None, "gbt": None})
     return t.spark.createDataFrame(rows, "model string, mean_r2 double, std_r2 double")
 
 

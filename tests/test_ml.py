@@ -105,10 +105,10 @@ def test_tuning_finds_the_best_of_the_grid(data, monkeypatch):
     setup = models.prepare(df)
     folded = tuning.folded_cells(setup, df, 3)
     assert folded.agg(F.sum("_count")).first()[0] == len(pdf)
-    best = tuning.tune_alpha("ridge", folded, 3)
+    best = tuning.tune_alphas(folded, 3, ["ridge", "lasso"])["ridge"]
     assert best["best_alpha"] in tuning.alphas("ridge") and best["best_alpha"] < 100
     assert best["best_cv_r2"] > 0.8
-    checked = tuning.cross_validate("ridge", folded, 3, best["best_alpha"])
+    checked, = tuning.cross_validate(folded, 3, {"ridge": best["best_alpha"]})
     assert checked["mean_r2"] == pytest.approx(best["best_cv_r2"])
     boosted = tuning.tune_boosting(folded, 3, [{"maxIter": 2, "maxDepth": 2},
                                                {"maxIter": 8, "maxDepth": 3}])
