@@ -8,8 +8,6 @@ pass of a solver then reads the cells and not the records.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +36,6 @@ def cells(df: DataFrame, categorical: list[str], numeric: list[str], *keep: str)
     return durable(sums.withColumn(MEAN, F.col(SUM) / F.col(COUNT)))
 
 
-def pieces(data: DataFrame, rows: float, most: int = 200_000) -> DataFrame:
-    """Cells cut into rows of equal weight, each at most one `most`-th of all records.
-
-    With up to `most` records every piece is a record, so drawing pieces is drawing records.
-    Beyond that one draw still moves a small part only.
-    """
-    number = F.ceil(F.col(COUNT) / max(1.0, rows / most)).cast("int")
-    cut = data.withColumn("_piece", F.explode(F.array_repeat(F.lit(0), number)))
-    return cut.withColumn(COUNT, F.col(COUNT) / number).drop("_piece")
-
-
 def outcomes(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
     """Records per distinct input and target, for metrics that need single errors."""
     rows = prepared(df, categorical, numeric, TARGET).where(F.col(TARGET).isNotNull())
@@ -56,23 +43,6 @@ def outcomes(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataF
         F.count("*").cast("double").alias(COUNT))
 
 
-class Scale(NamedTuple):
-    """Records, and the deviation of the cell means in both forms that solvers use."""
-
-    rows: float
-    population: float
-    sample: float
-
-
-def label_scale(data: DataFrame) -> Scale:
-    n, mean = F.col(COUNT), F.col(MEAN)
-    total = F.sum(n)
-    spread = F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / total
-    row = data.agg(total, F.sqrt(spread / total),
-                   F.sqrt(spread / (total - F.sum(n * n) / total))).first()
-    return Scale(*row)
-
-
 def cell_r2(predictions: DataFrame) -> float:
     """r2 over the records behind the cells."""
     p, n, s, q = F.col("prediction"), F.col(COUNT), F.col(SUM), F.col(SQUARES)

@@ -6,14 +6,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressor, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipendia.ml import penalty
-from stipendia.ml.cells import (
-    COUNT, MEAN, TARGET, cells, label_scale, outcomes, pieces, weighted_metrics,
-)
+from stipendia.ml import penalty, trees
+from stipendia.ml.cells import TARGET, cells, outcomes, weighted_metrics
 from stipendia.ml.preprocess import FEATURES, feature_names, fit_preprocessor
 from stipendia.plans.features import model_columns
 from stipendia.plans.scoring import score_with_errors
@@ -23,26 +21,20 @@ from stipendia.sources.payroll import load_optional
 DEFAULT_ALPHA = {"linear": 0.0, "ridge": 1.0, "lasso": 0.001, "elasticnet": 0.001}
 FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 42}
 MIN_SPLIT_ROWS = 50
-BOOSTING = {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "seed": 42}
-COLUMNS = {"featuresCol": FEATURES, "labelCol": MEAN, "weightCol": COUNT}
+BOOSTING = {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "l2": 1.0, "minInfoGain": 0.0, "columnRate": 1.0,
+            "subsamplingRate": 1.0, "seed": 42}
 
 
-def forest(rows: float) -> RandomForestRegressor:
-    """Splits need 50 records, so a leaf gets at least about half of that."""
-    if rows <= MIN_SPLIT_ROWS:
-        raise ValueError(f"a forest needs more than {MIN_SPLIT_ROWS} records, not {rows:.0f}")
-    share = MIN_SPLIT_ROWS / 2 / rows
-    return RandomForestRegressor(featureSubsetStrategy="all", minWeightFractionPerNode=share,
-                                 **COLUMNS, **FOREST)
+def forest_growth() -> trees.Growth:
+    return trees.Growth(FOREST["maxDepth"], least_split=MIN_SPLIT_ROWS, seed=FOREST["seed"])
 
 
-def boosting(**parameters) -> GBTRegressor:
-    return GBTRegressor(**COLUMNS, **{**BOOSTING, **parameters})
-
-
-def estimator(kind: str, data: DataFrame):
-    """The estimator of trees of a kind for given cells."""
-    return boosting() if kind == "gbt" else forest(label_scale(data).rows)
+def boosting(fold: int | None = None, **parameters) -> trees.Model:
+    """A boosted model to be grown, with the default settings for those not given."""
+    chosen = {**BOOSTING, **parameters}
+    growth = trees.Growth(chosen["maxDepth"], l2=chosen["l2"], least_gain=chosen["minInfoGain"],
+                          columns=chosen["columnRate"], records=chosen["subsamplingRate"], seed=chosen["seed"])
+    return trees.Model(growth, chosen["maxIter"], chosen["stepSize"], fold)
 
 
 @dataclass
@@ -59,6 +51,11 @@ class Setup:
         """Sums of products of the training cells; all linear models start from them."""
         return penalty.products(self.training)
 
+    @cached_property
+    def binned(self) -> trees.Binned:
+        """The training cells with binned inputs; trees start from them."""
+        return trees.binned(self.training)
+
     def cells(self, df: DataFrame, *keep: str) -> DataFrame:
         return self.preprocessor.transform(cells(df, self.categorical, self.numeric, *keep))
 
@@ -86,9 +83,14 @@ def predict(pipeline: PipelineModel, rows: DataFrame, year: int | None = None) -
     return score_with_errors(scored)
 
 
-def fitted(kind: str, data: DataFrame):
-    """Trees on cells; a forest draws its bootstrap over pieces of cells."""
-    return estimator(kind, data).fit(pieces(data, label_scale(data).rows) if kind == "rf" else data)
+def train_forest(data: trees.Binned) -> RandomForestRegressionModel:
+    found, = trees.forest(data, FOREST["numTrees"], forest_growth())
+    return trees.forest_model(data.table.sparkSession, found, data)
+
+
+def train_boosting(data: trees.Binned, **parameters) -> GBTRegressionModel:
+    model, = trees.boost(data, [boosting(**parameters)])
+    return trees.boosted_model(data.table.sparkSession, model, data)
 
 
 def train_linear(setup: Setup, alphas: dict[str, float | None]) -> dict[str, LinearRegressionModel]:
@@ -100,7 +102,9 @@ def train_linear(setup: Setup, alphas: dict[str, float | None]) -> dict[str, Lin
 
 
 def train_model(kind: str, setup: Setup, alpha: float | None = None):
-    return train_linear(setup, {kind: alpha})[kind] if kind in DEFAULT_ALPHA else fitted(kind, setup.training)
+    if kind in DEFAULT_ALPHA:
+        return train_linear(setup, {kind: alpha})[kind]
+    return train_forest(setup.binned) if kind == "rf" else train_boosting(setup.binned)
 
 
 def feature_importance(spark: SparkSession, model, transformed: DataFrame) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
-from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipendia.ml import models, penalty
-from stipendia.ml.cells import cell_r2, label_scale
+from stipendia.ml import models, penalty, trees
+from stipendia.ml.cells import SQUARES, SUM
 from stipendia.operators.folds import contiguous_folds, group_folds
 
 # Exponents of the alpha grids, and the space of boosted trees.
@@ -21,7 +20,7 @@ BOOSTING_SPACE = {
     "maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5],
     "subsamplingRate": [0.8, 1.0],
 }
-DRAWS, PARALLEL_FITS = 4, 8
+DRAWS = 4
 
 
 def alphas(kind: str) -> list[float]:
@@ -44,28 +43,6 @@ def group_folded_cells(setup: models.Setup, df: DataFrame, k: int, *group: str)
     return setup.cells(group_folds(df, k, [F.col(g) for g in group]), "fold")
 
 
-def _fold_scores(data: DataFrame, k: int, candidates: list, fit) -> list[list[float]]:
-    """r2 of every candidate on every fold. Fits are independent jobs and run side by side.
-
-    `fit` makes a model of a candidate, the training cells and their scale.
-    """
-    def score(task: tuple[int, int]) -> float:
-        i, fold = task
-        part = data.where(F.col("fold") != fold)
-        model = fit(candidates[i], part, scales[fold])
-        return cell_r2(model.transform(data.where(F.col("fold") == fold)))
-
-    data = data.persist()
-    try:
-        scales = {f: label_scale(data.where(F.col("fold") != f)) for f in range(k)}
-        tasks = [(i, f) for i in range(len(candidates)) for f in range(k)]
-        with ThreadPool(PARALLEL_FITS) as pool:
-            flat = pool.map(score, tasks, chunksize=1)
-    finally:
-        data.unpersist()
-    return [flat[i * k:(i + 1) * k] for i in range(len(candidates))]
-
-
 def tune_alphas(folded: DataFrame, k: int, kinds: list[str]) -> dict[str, dict[str, float]]:
     """For each kind the penalty with the best mean r2 over the folds, all from one pass over the cells.
 
@@ -82,13 +59,26 @@ def tune_alphas(folded: DataFrame, k: int, kinds: list[str]) -> dict[str, dict[s
 
 
 def tune_boosting(folded: DataFrame, k: int, points: list[dict] | None = None) -> dict:
+    """The point with the best mean r2; the models of all points and folds grow side by side."""
     points = draws() if points is None else points
-    scores = _fold_scores(folded, k, points, lambda p, part, _: models.boosting(**p).fit(part))
-    means = [fmean(s) for s in scores]
+    data = trees.binned(folded, "fold", SUM, SQUARES)
+    grown = trees.boost(data, [models.boosting(fold, **p) for p in points for fold in range(k)])
+    flat = trees.held_out_r2(data, [(m.fold, trees.boosted_sum(m)) for m in grown])
+    means = [fmean(flat[i * k:(i + 1) * k]) for i in range(len(points))]
     best = max(range(len(points)), key=means.__getitem__)
     return {**points[best], "best_cv_r2": means[best]}
 
 
+def _tree_scores(kind: str, data: trees.Binned, k: int) -> list[float]:
+    """r2 on each fold of a forest or boosted model grown on the others."""
+    folds = list(range(k))
+    if kind == "rf":
+        grown = trees.forest(data, models.FOREST["numTrees"], models.forest_growth(), folds)
+        return trees.held_out_r2(data, [(f, trees.forest_mean(t)) for f, t in zip(folds, grown)])
+    found = trees.boost(data, [models.boosting(f) for f in folds])
+    return trees.held_out_r2(data, [(m.fold, trees.boosted_sum(m)) for m in found])
+
+
 def cross_validate(folded: DataFrame, k: int, kinds: dict[str, float | None]) -> list[dict]:
     """Refit on the folds of the given table, with the default penalty for None; mean and population
     deviation of r2."""
@@ -99,7 +89,7 @@ def cross_validate(folded: DataFrame, k: int, kinds: dict[str, float | None]) ->
         sums = penalty.products(folded, k)
         scores = {kind: r2[:, 0].tolist() for kind, r2 in penalty.held_out_r2(
             sums, penalty.fit(sums, chosen)).items()}
-    for kind in kinds:
-        if kind not in chosen:
-            scores[kind], = _fold_scores(folded, k, [kind], lambda name, part, _: models.fitted(name, part))
+    if len(chosen) < len(kinds):
+        data = trees.binned(folded, "fold", SUM, SQUARES)
+        scores.update({kind: _tree_scores(kind, data, k) for kind in kinds if kind not in chosen})
     return [{"model": kind, "mean_r2": fmean(scores[kind]), "std_r2": pstdev(scores[kind])} for kind in kinds]

@@ -339,7 +339,7 @@ def _leaderboard(t: Tables) -> DataFrame:
         "linear": None, **{kind: _tuned(t, kind)["best_alpha"] for kind in ("ridge", "lasso")}})
     found["rf"] = models.train_model("rf", _setup(t))
     tuned = {name: value for name, value in _tuned(t, "gbt").items() if name != "best_cv_r2"}
-    found["gbt"] = models.boosting(**tuned).fit(_setup(t).training)
+    found["gbt"] = models.train_boosting(_setup(t).binned, **tuned)
     scores = {kind: _setup(t).evaluate(model, _splits(t)[2]).first() for kind, model in found.items()}
     best = max(scores, key=lambda kind: scores[kind].r2)
     models.save_model(t.spark, _setup(t).pipeline(found[best]),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from stipendia import session
 from stipendia.ml import models, tuning
-from stipendia.ml.cells import pieces
 from stipendia.plans import scoring
 
 
@@ -164,31 +163,3 @@ def test_saved_models_can_be_ranked_and_used(spark, data):
     found = models.predict(PipelineModel.load(best.path), df, 2016)
     assert 0 < found.count() == df.where("fiscal_year = 2016").count()
     assert found.agg(F.avg(F.abs("salary_error_pct")).alias("e")).first().e < 30
-
-
-def test_a_forest_needs_records():
-    with pytest.raises(ValueError):
-        models.forest(50)
-
-
-def test_pieces_keep_records_and_sums(data):
-    df, pdf = data
-    setup = models.prepare(df)
-    for most, rows in ((10**6, len(pdf)), (50, None)):
-        cut = pieces(setup.training, len(pdf), most)
-        assert cut.agg(F.sum("_count")).first()[0] == pytest.approx(len(pdf))
-        assert cut.agg(F.max("_count")).first()[0] <= max(1, len(pdf) / most) + 1e-9
-        if rows:
-            assert cut.count() == rows
-
-
-def test_forest_on_pieces_equals_one_on_records(data, monkeypatch):
-    df, pdf = data
-    monkeypatch.setitem(models.FOREST, "numTrees", 20)
-    setup = models.prepare(df)
-    by_cells = setup.evaluate(models.train_model("rf", setup), df).first().r2
-    rows = setup.preprocessor.transform(df).withColumns({
-        "_count": F.lit(1.0), "_mean": F.col("log_base_salary")})
-    by_rows = models.forest(len(pdf)).fit(rows)
-    r2 = setup.evaluate(by_rows, df).first().r2
-    assert abs(by_cells - r2) < 0.01
