@@ -2,16 +2,18 @@
 
 Every run of three consecutive lines of a document is a window, known by two 64-bit hashes. A
 window that occurs again, in any document or further down in the same one, is kept where it
-comes first (smallest id, then position) and its lines are removed at all later places; the
+comes first (smallest id, then hash of the text, then position) and its lines are removed at all later places; the
 places of overlapping windows are merged. Everything is a DataFrame expression.
 
-Counts are combined before the shuffle, so a very frequent window is one row a task; later places are
-found by a join that adaptive execution splits where a window is frequent.
+First places are combined before the shuffle, so a very frequent window is one row a task. They are
+written before they are joined with all places, so both sides of that join are dealt anew and adaptive execution
+splits it where a window is frequent. A document's lines are compared with its places as two sets, in time in
+proportion to its lines.
 
 Defined cases: lines end at \\n; lines count as they are, white space included; a window of
 blank lines only is none; a document of fewer than three lines, null or empty, stays as it is; rows
-that repeat an id and text are one document, and come out alike; a null id counts as the smallest;
-an empty table gives an empty table.
+that repeat an id and text are one document, and come out alike; rows of one id with different texts are
+different documents; a null id counts as the smallest; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,35 +43,31 @@ def windows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, size: int) -> DataFrame:
-    """_id, _sum and the sorted numbers of the lines to remove."""
-    found = written(windows(docs, size), "windows").dropDuplicates(["_id", "_sum", "at"])
-    # The first place of a window: smallest id, and in it the first line.
-    places = found.groupBy("h1", "h2", "_id").agg(F.min("at").alias("at"), F.count("*").alias("n"))
-    first = places.groupBy("h1", "h2").agg(
-        F.min("_id").alias("home"), F.min_by("at", "_id").alias("place"), F.sum("n").alias("n")
-    ).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where("_id <> home or at <> place")
-    lines = F.explode(F.sequence("at", F.col("at") + size - 1))
-    return later.select("_id", "_sum", lines.alias("line")).groupBy("_id", "_sum").agg(
-        F.array_sort(F.collect_set("line")).alias("gone"))
+    """_id, _sum and the first lines of the windows to remove."""
+    found = written(windows(docs, size), "windows")
+    place = F.struct("_id", "_sum", "at")
+    first = written(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(
+        "n > 1").drop("n"), "first-places")
+    later = found.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    return later.groupBy("_id", "_sum").agg(F.collect_set(F.col("at").cast("int")).alias("starts"))
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                  size: int = WINDOW, counted: bool = False) -> DataFrame:
     """The documents with the lines that are left; with `counted` also n_lines and n_removed."""
-    gone = repeats(identified(docs, id_column, text), size)
+    starts = repeats(identified(docs, id_column, text), size)
     body = f"c{docs.columns.index(text)}"
-    both = keyed(docs, id_column, text).join(gone, ["_id", "_sum"], "left")
-    lines = F.split(F.col(body), "\n", -1)
-    # filter() gives the place of an entry; a document's removed lines become a map once.
-    marks = F.map_from_arrays("gone", F.transform("gone", lambda _: F.lit(True)))
-    left = F.expr("filter(lines, (x, i) -> element_at(marks, cast(i as bigint)) is null)")
-    ready = both.withColumn("marks", marks).withColumn("lines", lines).withColumn(
-        "left", F.when(F.col("gone").isNull(), F.col(body)).otherwise(F.array_join(left, "\n")))
+    both = keyed(docs, id_column, text).join(starts, ["_id", "_sum"], "left")
+    gone = F.flatten(F.transform("starts", lambda at: F.sequence(at, at + size - 1)))
+    ready = both.withColumn("lines", F.split(F.col(body), "\n", -1)).withColumn(
+        "rest", F.when(F.col("starts").isNotNull(), F.array_except(
+            F.sequence(F.lit(0), F.size("lines") - 1), gone)))
+    left = F.array_join(F.transform("rest", lambda at: F.get("lines", at)), "\n")
+    ready = ready.withColumn("left", F.when(F.col("rest").isNull(), F.col(body)).otherwise(left))
     out = [F.col("left").alias(n) if n == text else F.col(f"c{i}").alias(n)
            for i, n in enumerate(docs.columns)]
     if counted:
         number = F.when(F.col(body).isNull() | (F.col(body) == ""), F.lit(0)).otherwise(F.size("lines"))
         out += [number.cast("long").alias("n_lines"),
-                F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
+                F.coalesce(F.size("lines") - F.size("rest"), F.lit(0)).cast("long").alias("n_removed")]
     return ready.select(*out)

@@ -1,6 +1,7 @@
 """Operators on awkward rows, against brute force written out here."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -342,3 +343,21 @@ def test_lines(awkward, empty):
     same([tuple(r) for r in found.collect()], brute_lines(docs))
     assert line_dedup.deduplicated(awkward).columns == awkward.columns
     assert line_dedup.deduplicated(empty).count() == 0
+
+
+def test_lines_of_one_id_with_different_texts(spark):
+    docs = [(1, "a\nb\nc"), (1, "a\nb\nc\nd"), (1, "a\nb\nc"), (2, "x\na\nb\nc"), (None, "q\nr\ns\nq\nr\ns"),
+            (2, "q\nr\ns\nt"), (2, "b\nc\nd")]
+    found = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), counted=True)
+    same([(r.doc_id or -1, *r[1:]) for r in found.collect()], brute_lines([(i or -1, t) for i, t in docs]))
+
+
+def test_a_long_copied_document_loses_its_lines_in_seconds(spark):
+    lines = [f"line {i}" for i in range(200_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["begin", *lines, "end"]))]
+    began = time.monotonic()
+    found = {r.doc_id: r for r in line_dedup.deduplicated(
+        spark.createDataFrame(docs, "doc_id long, text string"), counted=True).collect()}
+    assert time.monotonic() - began < 40
+    assert (found[1].text, found[1].n_removed) == (docs[0][1], 0)
+    assert (found[2].text, found[2].n_lines, found[2].n_removed) == ("begin\nend", 200_002, 200_000)
