@@ -13,11 +13,12 @@ What a reader needs to find a block (file, place, size, document ids and their n
 index, a table with one row a block. Any block, and inside it any checkpoint, can be decoded alone.
 
 Defined cases: a null or empty text has only the end id; a null document id sorts first; rows
-that repeat an id follow each other; an empty table gives no files and an empty index.
+that repeat an id follow each other, however the table in between is split; an empty table gives no files and an empty index.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +49,8 @@ class Stored:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """_id, ids (little-endian numbers of two or four bytes), in ascending order of id by range."""
+    """_id, ids (little-endian numbers of two or four bytes) and row, which ascends with _id and has no gaps
+    inside a range."""
     size = max(tokens.tokenizer(tokenizer).get_vocab_size(), end + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
@@ -68,7 +70,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
 
     ordered = docs.repartitionByRange("_id", "_sum").sortWithinPartitions("_id", "_sum")
     return ordered.mapInArrow(rows, "_id bigint, ids binary").withColumn(
-        "part", F.spark_partition_id())
+        "row", F.monotonically_increasing_id())
 
 
 def packed(batches: Iterator[pa.RecordBatch], column: str = "ids") -> Iterator[pa.RecordBatch]:
@@ -120,36 +122,40 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str | None = None,
     return Stored(folder, index)
 
 
-INDEX = ("file string, part int, low bigint, place bigint, size bigint, n_ids bigint, "
+INDEX = ("file string, row bigint, place bigint, size bigint, n_ids bigint, "
          "docs array<bigint>, counts array<bigint>")
 
 
 def block_writer(folder: str, table: rans.Tables, kind: str):
-    """The task that writes blocks of whole documents, a file for each stretch of one range."""
+    """The task that writes blocks of whole documents, a file for each stretch of rows without a gap.
+
+    Every attempt of a task writes names of its own. The index has those of the attempts that were
+    committed; other files are never read.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        name, number, waiting, held = "", None, [], 0
+        out, name, begin, following, waiting, held = None, "", 0, None, [], 0
 
         def flushed() -> dict:
             ids = np.concatenate([np.frombuffer(i, kind) for _, i in waiting])
             data = rans.encode(ids.astype(np.int64), table)
-            return {"file": name, "part": number, "low": waiting[0][0], "place": out.write(data),
-                    "size": len(data), "n_ids": len(ids), "docs": [d for d, _ in waiting],
+            return {"file": name, "row": begin, "place": out.write(data), "size": len(data), "n_ids": len(ids),
+                    "docs": [d for d, _ in waiting],
                     "counts": [len(i) // np.dtype(kind).itemsize for _, i in waiting]}
 
         for part in packed(batches):
             done = []
-            for doc, ids, at in zip(part.column("_id").to_pylist(), part.column("ids").to_pylist(),
-                                    part.column("part").to_pylist()):
-                if at != number:
+            for doc, ids, row in zip(*(part.column(c).to_pylist() for c in ("_id", "ids", "row"))):
+                if row != following:
                     if waiting:
                         done.append(flushed())
                         waiting, held = [], 0
                     if out:
                         out.close()
-                    number = at
-                    name = f"{folder}/ids-{at:06d}-{doc + 2**63:020d}.rans"
+                    name = f"{folder}/ids-{row:016d}-{uuid.uuid4().hex}.rans"
                     out = files.Output(name)
+                if not waiting:
+                    begin = row
+                following = row + 1
                 waiting.append((doc, ids))
                 held += len(ids)
                 if held >= BLOCK * np.dtype(kind).itemsize:
@@ -167,15 +173,15 @@ def block_writer(folder: str, table: rans.Tables, kind: str):
 def rows_of(done: list[dict]) -> pa.RecordBatch:
     longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_pylist(done, pa.schema([
-        ("file", pa.string()), ("part", pa.int32()), ("low", pa.int64()), ("place", pa.int64()),
+        ("file", pa.string()), ("row", pa.int64()), ("place", pa.int64()),
         ("size", pa.int64()), ("n_ids", pa.int64()), ("docs", longs), ("counts", longs)]))
 
 
 def placed(stored: Stored) -> DataFrame:
     """The index with `start`, the ids of all blocks before. Only a row a file meets in one task."""
     index = stored.index
-    sizes = index.groupBy("part", "file").agg(F.min("low").alias("first"), F.sum("n_ids").alias("n"))
-    order = Window.orderBy("part", "first").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = index.groupBy("file").agg(F.min("row").alias("first"), F.sum("n_ids").alias("n"))
+    order = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return index.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(

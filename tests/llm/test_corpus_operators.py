@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from brute import (
     PLAIN, SPACED, base_spans, brute_groups, brute_hits, brute_lines, brute_removal, rows,
 )
 from stipendia.llm import (
-    components, decontamination, line_dedup, minhash, mixing, neighbours, pii, quality_rules,
+    components, decontamination, files, line_dedup, minhash, mixing, neighbours, pii, quality_rules, rans,
     substring_dedup, token_output, tokens, warc,
 )
 from stipendia.llm.queries import END, TOKENIZER
@@ -98,6 +99,42 @@ def test_token_files(spark, awkward, empty):
     assert token_output.read(spark, none).count() == 0
 
 
+def test_token_files_of_rows_without_ids_in_many_splits(spark):
+    """Ranges that are read as several splits, which all begin with the same id."""
+    texts = [f"text number {i} " + "word " * (i % 40) for i in range(6_000)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    hadoop, sizes = spark.sparkContext._jsc.hadoopConfiguration(), {"spark.sql.files.maxPartitionBytes": "60000",
+                                                                    "spark.sql.files.openCostInBytes": "1000"}
+    hadoop.set("parquet.block.size", "20000")
+    try:
+        for key, value in sizes.items():
+            spark.conf.set(key, value)
+        stored = token_output.write(docs, TOKENIZER, END)
+        parts = stored.index.groupBy(F.shiftright("row", 33).alias("part")).agg(F.countDistinct("file").alias("n"))
+        assert parts.agg(F.max("n")).first()[0] > 1
+        found = sorted(token_output.read(spark, stored).collect(), key=lambda r: r.start)
+    finally:
+        hadoop.unset("parquet.block.size")
+        for key in sizes:
+            spark.conf.unset(key)
+    ends = np.cumsum([r.n_tokens for r in found])
+    assert [r.start for r in found] == [0, *ends[:-1].tolist()]
+    tool = tokens.tokenizer(TOKENIZER)
+    wanted = [(*tool.encode(t, add_special_tokens=False).ids, END) for t in texts]
+    assert sorted(tuple(r.ids) for r in found) == sorted(wanted)
+
+
+def test_a_token_file_of_an_attempt_that_was_not_committed_is_not_read(spark, awkward):
+    stored = token_output.write(awkward, TOKENIZER, END)
+    again = token_output.block_writer(stored.folder, rans.Tables.unpacked(files.read_range(
+        f"{stored.folder}/tables", 0, files.file_size(f"{stored.folder}/tables"))), "<u2")
+    part = pa.RecordBatch.from_pydict({"_id": [1, 2], "ids": [b"\x05\x00", b"\x05\x00"], "row": [0, 1]})
+    before = [tuple(r) for r in token_output.read(spark, stored, summary=True).collect()]
+    names = {row["file"] for batch in again(iter([part])) for row in batch.to_pylist()}
+    assert not names & {r.file for r in stored.index.collect()}
+    same([tuple(r) for r in token_output.read(spark, stored, summary=True).collect()], before)
+
+
 PAGES = [(5, "http://a.b/x?y=1", "p" * 120), (2, None, "p" * 120), (9, "u", "p" * 120), (9, "u", "p" * 120),
          (1, "http://www.é.com/ a\nb", "short"), (3, "u", "short"), (4, "u", None), (6, "u", ""),
          (None, "u", "n" * 200), (7, "u", "n" * 200), (8, "u", "é" * 60), (10, "u", "\r\n\r\n" * 40),
