@@ -7,8 +7,10 @@ read of its own bytes.
 
 Records of equal payloads of REVISIT_BYTES or more are written once, as the response of the smallest page
 id; the others are revisits that refer to it. A record's id follows from page id and payload
-digest. Pages go to archives by digest, so a frequent payload's join is split by adaptive
-execution; archives are closed after ARCHIVE_RECORDS or ARCHIVE_BYTES.
+digest. Copies are found on page ids and digests alone, with the first page of each digest written before it is
+joined, and payloads only meet the marks of their own page: no group of copies and no empty
+page makes a large task. Archives are closed after ARCHIVE_RECORDS or ARCHIVE_BYTES; each attempt of a task
+writes names of its own, and the archives that count are listed in `committed`.
 
 Defined cases: a null html is an empty payload; null ids and addresses are left out of the record and
 read back as null; a null id counts as the largest when the response is chosen; rows that repeat a page id and
@@ -45,6 +47,8 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Records that lie closer than this are read at once.
 GAP = 64 << 10
+#: The table of archives beside them.
+COMMITTED, ARCHIVES = "committed", "path string, records bigint, bytes bigint"
 LONGEST_READ = 8 << 20
 
 
@@ -146,13 +150,21 @@ def write(pages: DataFrame, folder: str | None = None, id_column: str = "page_id
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     plain = pages.select(F.col(id_column).cast("long").alias("page"), F.col(url).alias("url"),
                          body.alias("html"), F.sha2(body, 256).alias("digest"))
-    firsts = plain.where(F.octet_length("html") >= REVISIT_BYTES).groupBy(
-        F.col("digest").alias("own")).agg(
-        F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = plain.join(firsts, plain["digest"] == firsts["own"], "left").drop("own")
+    # Pages by digest meet without their text, and small ones not at all. Most pages are no revisit, so
+    # only the marks of those that are go to the pages, by page and digest, which no group of copies shares.
+    narrow = written(plain.where(F.octet_length("html") >= REVISIT_BYTES).select("page", "digest"), "digests")
+    firsts = written(narrow.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where(
+        "n > 1").drop("n"), "firsts")
+    revisits = written(narrow.where("page is not null").distinct().join(firsts, "digest").where(
+        "page <> first").select(F.col("page").alias("p"), F.col("digest").alias("d"), "first"), "revisits")
+    missing = narrow.where("page is null").select("digest").distinct().join(firsts, "digest").where(
+        "first is not null").select(F.lit(None).cast("long").alias("p"), F.col("digest").alias("d"), "first")
+    marks = revisits.unionByName(missing)
+    marked = plain.join(marks, plain["page"].eqNullSafe(marks["p"]) & (plain["digest"] == marks["d"]), "left").drop(
+        "p", "d")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, number = None, 0
+        archive, number, part, attempt = None, 0, TaskContext.get().partitionId(), uuid.uuid4().hex
         done: list[tuple[str, int, int]] = []
         for batch in batches:
             for page, address, text, digest, first in zip(*(
@@ -162,8 +174,8 @@ def write(pages: DataFrame, folder: str | None = None, id_column: str = "page_id
                     done.append((archive.path, len(archive.lines), archive.at))
                     archive, number = None, number + 1
                 if not archive:
-                    part = TaskContext.get().partitionId()
-                    archive = Archive(f"{folder}/pages-{part:06d}-{number:04d}.wacz")
+                    # Every attempt of a task has names of its own; those it returns when it ends count.
+                    archive = Archive(f"{folder}/pages-{part:06d}-{number:04d}-{attempt}.wacz")
                 revisit = first is not None and page != first
                 archive.add(record(page, address, text.encode(), digest, first, revisit), address,
                             "revisit" if revisit else "response", digest)
@@ -174,9 +186,10 @@ def write(pages: DataFrame, folder: str | None = None, id_column: str = "page_id
             [pa.array([d[i] for d in done], t) for i, t in enumerate(
                 (pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    out = written(marked.mapInArrow(rows, "path string, records bigint, bytes bigint"), "archives")
+    listed = f"{folder}/{COMMITTED}"
+    marked.mapInArrow(rows, ARCHIVES).write.mode("overwrite").parquet(listed)
     free(spark)
-    return out
+    return spark.read.schema(ARCHIVES).parquet(listed)
 
 
 def index(archives: DataFrame) -> DataFrame:
@@ -275,6 +288,9 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in a folder; files are listed, their contents not read."""
+    """All records of the archives in a folder: those that were committed, or in a folder without such a list
+    all there are."""
+    if session.exists(spark, f"{folder}/{COMMITTED}"):
+        return records(index(spark.read.schema(ARCHIVES).parquet(f"{folder}/{COMMITTED}")))
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(folder)
     return records(index(listed.select("path")))

@@ -1,6 +1,7 @@
 """Operators on awkward rows, against brute force written out here."""
 
 import hashlib
+import shutil
 import time
 import zlib
 
@@ -141,6 +142,16 @@ PAGES = [(5, "http://a.b/x?y=1", "p" * 120), (2, None, "p" * 120), (9, "u", "p"
          (11, "u", "q" * 300_000), (12, "u", "q" * 300_000)]
 
 
+def test_an_archive_of_an_attempt_that_was_not_committed_is_not_read(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    archives = warc.write(pages, str(tmp_path / "w"))
+    before = sorted(map(str, warc.read(spark, str(tmp_path / "w")).collect()))
+    assert len(before) == len(PAGES)
+    one = archives.first().path
+    shutil.copy(one, one.replace(".wacz", "-again.wacz"))
+    assert sorted(map(str, warc.read(spark, str(tmp_path / "w")).collect())) == before
+
+
 @pytest.mark.parametrize("most", [50_000, 2])
 def test_archives(spark, monkeypatch, tmp_path, most):
     monkeypatch.setattr(warc, "ARCHIVE_RECORDS", most)
