@@ -176,6 +176,14 @@ QUERIES.update({
                   ' - 1) / 2e0) / count(*) OVER ()')} AS agency_prestige
         FROM (SELECT agency_std, avg(base_salary) AS mean_salary FROM features
               GROUP BY agency_std)"""),
+    "split_columns": on("features", """
+        SELECT fiscal_year, agency_std, title_std, base_salary FROM features WHERE split IN ('train', 'valid')"""),
+    "varying_features": on("training", "SELECT column_name, records FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS records, var_pop({c}) AS variance "
+        f"FROM training WHERE split = 'train'" for c in (
+            "fiscal_year", "tenure_years", "title_frequency", "agency_size",
+            "median_salary_by_title", "median_salary_by_agency", "count_of_job_titles",
+            "current_year")) + ") WHERE variance > 0.01"),
     "variance_report": on("training", "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {r(f'var_pop({c})')} AS variance, var_pop({c}) > 0.01 AS kept "
         f"FROM training WHERE split = 'train'" for c in (

@@ -7,6 +7,9 @@ OBJECTS = ["agency_name", "last_name", "first_name", "agency_start_date", "work_
            "title_description"]
 
 
+SKETCHED = ["agency_std", "title_std", "title_category", "work_location_borough", "total_compensation"]
+
+
 def stacked(columns: list[str], table: str, cast: str) -> str:
     return " UNION ALL ".join(
         f"SELECT {lit(c)} AS column_name, CAST({c} AS {cast}) AS value FROM {table}"
@@ -74,6 +77,25 @@ QUERIES = {
         f"SELECT {lit(c)} AS column_name, count(*) - count({c}) AS missing FROM payroll_raw"
         for c in RAW_COLUMNS) + ")"),
     "numeric_profile": on("clean", describe(NUMBERS, "clean")),
+    "quantile_sketches": on("clean", f"""
+        SELECT column_name, count(value) AS n, probability, TRUE AS within
+        FROM ({stacked(NUMBERS, "(SELECT * FROM clean WHERE fiscal_year BETWEEN 2016 AND 2022)", 'DOUBLE')}),
+             (VALUES (0.25e0), (0.5e0), (0.75e0)) asked(probability)
+        WHERE value IS NOT NULL GROUP BY column_name, probability"""),
+    "distinct_sketches": on("population", f"""
+        WITH v AS ({" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CAST({c} AS STRING) AS value, fiscal_year FROM population"
+            for c in SKETCHED)})
+        SELECT 'any year' AS years, column_name, count(DISTINCT value) AS exact, TRUE AS near FROM v GROUP BY 2
+        UNION ALL SELECT '2021 and 2022', column_name, count(*) FILTER (WHERE years = 2), TRUE
+        FROM (SELECT column_name, value, count(DISTINCT fiscal_year) AS years FROM v
+              WHERE fiscal_year IN (2021, 2022) AND value IS NOT NULL
+              GROUP BY column_name, value) GROUP BY column_name"""),
+    "heavy_hitters": on("clean", f"""
+        SELECT column_name, value, n FROM (
+          SELECT column_name, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY column_name) AS total
+          FROM ({stacked(SKETCHED[:4], 'clean', 'STRING')}) WHERE value IS NOT NULL GROUP BY column_name, value)
+        WHERE n * 50 > total"""),
     "cardinality_profile": on("payroll_raw", f"""
         SELECT column_name, count(DISTINCT value) AS distinct_values
         FROM ({stacked(RAW_COLUMNS, 'payroll_raw', 'STRING')}) GROUP BY column_name"""),

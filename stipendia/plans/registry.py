@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 from stipendia import session
 from stipendia.ml import models, tuning
 from stipendia.operators.ranks import row_mark
+from stipendia.operators.tall import tall, tall_row
 from stipendia.plans import (
-    anomaly, benchmark, clean, features, overtime, profile, recipes, scoring, tenure, workforce,
+    anomaly, benchmark, clean, features, overtime, profile, recipes, scoring, sketches, tenure, workforce,
 )
 from stipendia.schema import EMPLOYEE_ORDER, NUMERIC_COLUMNS, PAY_COLUMNS, RAW_TYPES
 from stipendia.sources import payroll, sinks, starschema
@@ -32,15 +33,20 @@ def stage(*partitions: str):
     records, the analysis population, features, reference table and yearly panel, each made from the one before. They are
     built once per application; all queries start from them.
     """
-    def decorate(build: Callable[[Tables], DataFrame]) -> property:
-        def table(self: Tables) -> DataFrame:
-            key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
-            if key not in _WRITTEN or not session.exists(self.spark, _WRITTEN[key][0]):
-                _WRITTEN[key] = session.staged(build(self), build.__name__, *partitions)
+    return lambda build: property(stage_of(*partitions)(build))
+
+
+def stage_of(*partitions: str):
+    """A stored table made from the stages, written when first asked for."""
+    def decorate(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        def table(t: Tables) -> DataFrame:
+            key = (t.spark.sparkContext.applicationId, t.folder, build.__name__)
+            if key not in _WRITTEN or not session.exists(t.spark, _WRITTEN[key][0]):
+                _WRITTEN[key] = session.staged(build(t), build.__name__.strip("_"), *partitions)
             path, schema = _WRITTEN[key]
-            return self.spark.read.schema(schema).parquet(path)
+            return t.spark.read.schema(schema).parquet(path)
 
-        return property(table)
+        return table
 
     return decorate
 
@@ -195,6 +201,65 @@ def _write_splits(t: Tables) -> DataFrame:
     return first
 
 
+def _split_columns(t: Tables) -> DataFrame:
+    """Named columns of the stored splits of the first two parts; a third one does not exist, and one of the
+    columns is in none of them."""
+    folder = session.scratch_path(t.spark, "splits")
+    for name in ("train", "valid"):
+        features.split_of(t.features, name).write.parquet(f"{folder}/{name}")
+    return payroll.load_columns(t.spark, [f"{folder}/{n}" for n in ("train", "valid", "absent")],
+                                ["fiscal_year", "agency_std", "title_std", "base_salary", "not_there"])
+
+
+def _varying_features(t: Tables) -> DataFrame:
+    """The model numbers that are left when constant ones are dropped, with their number of values."""
+    train = features.split_of(t.training, "train").select(*MODEL_NUMBERS)
+    left = recipes.drop_constant(train, MODEL_NUMBERS)
+    counts = left.agg(*[F.count(c).alias(f"{c}__records") for c in left.columns])
+    return tall_row(counts, left.columns, ["records"])
+
+
+SKETCHED = ["agency_std", "title_std", "title_category", "work_location_borough", "total_compensation"]
+
+
+@stage_of("fiscal_year")
+def _quantile_sketches(t: Tables) -> DataFrame:
+    return sketches.quantile_sketches(t.clean, NUMERIC_COLUMNS)
+
+
+@stage_of("fiscal_year")
+def _distinct_sketches(t: Tables) -> DataFrame:
+    return sketches.distinct_sketches(t.population, SKETCHED)
+
+
+def _quantile_errors(t: Tables) -> DataFrame:
+    """Whether quartiles of 2016 to 2022 from yearly sketches are within the bound, against the records."""
+    years = F.col("fiscal_year").between(2016, 2022)
+    found = sketches.merged_quantiles(_quantile_sketches(t).where(years), [0.25, 0.5, 0.75])
+    errors = sketches.rank_errors(found, t.clean.where(years), NUMERIC_COLUMNS)
+    return errors.select("column_name", "n", "probability", (
+        F.col("rank_error") <= sketches.RANK_ERROR).alias("within"))
+
+
+def _distinct_errors(t: Tables) -> DataFrame:
+    """Exact numbers of values of all years and in both 2021 and 2022, and whether the sketches are near them."""
+    stored, two = _distinct_sketches(t), F.col("fiscal_year").isin(2021, 2022)
+    every = profile.cardinality_profile(t.population, SKETCHED).withColumnRenamed("distinct_values", "exact")
+    values = tall(t.population.where(two), SKETCHED, "string", keep=["fiscal_year"]).groupBy(
+        "column_name", "value").agg(F.count_distinct("fiscal_year").alias("years"))
+    both = values.groupBy("column_name").agg(
+        F.count_if((F.col("years") == 2) & F.col("value").isNotNull()).alias("exact"))
+    # An intersection is as uncertain as the union it is taken from.
+    size = sketches.distinct_in_any(stored.where(two)).withColumnRenamed("distinct_values", "union_values")
+    common = sketches.distinct_in_all(stored.where(two)).join(size, "column_name")
+    near_both = F.abs(F.col("distinct_values") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("union_values")
+    near_any = sketches.near(F.col("distinct_values"), F.col("exact"))
+    return every.join(sketches.distinct_in_any(stored), "column_name").select(
+        F.lit("any year").alias("years"), "column_name", "exact", near_any.alias("near")).unionByName(
+        both.join(common, "column_name").select(
+            F.lit("2021 and 2022").alias("years"), "column_name", "exact", near_both.alias("near")))
+
+
 def _joined_agencies(t: Tables) -> DataFrame:
     return features.title_to_agencies(t.reference).withColumn(
         "agencies", F.array_join("agencies", "|"))
@@ -579,6 +644,12 @@ QUERIES: dict[str, Query] = {
     "borough_cola": at(lambda t: recipes.borough_cola(t.features).groupBy(
         "work_location_borough", "borough_cola").agg(F.count("*").alias("records"))),
     "agency_prestige": on("features", recipes.agency_prestige),
+    "split_columns": at(_split_columns),
+    "varying_features": at(_varying_features),
+    "coefficient_threshold": at(lambda t: models.above_threshold(_importance(t))),
+    "quantile_sketches": at(_quantile_errors),
+    "distinct_sketches": at(_distinct_errors),
+    "heavy_hitters": on("clean", sketches.heavy_hitters, SKETCHED[:4]),
     "variance_report": at(lambda t: recipes.variance_report(
         features.split_of(t.training, "train"), MODEL_NUMBERS)),
 }

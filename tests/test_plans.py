@@ -5,7 +5,8 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from stipendia.plans import anomaly, benchmark, clean, features, overtime, scoring
+from stipendia.ml import models
+from stipendia.plans import anomaly, benchmark, clean, features, overtime, recipes, scoring
 from stipendia.sources import payroll, sinks, synthetic
 
 
@@ -143,3 +144,19 @@ def test_synthetic_payroll(spark):
                  F.max("fiscal_year")).first()
     assert row[0] >= 30_000 and row[1] <= 250_000 and (row[2], row[3]) == (2015, 2024)
     assert df.exceptAll(synthetic.synthetic_payroll(spark)).count() == 0
+
+
+def test_features_that_hardly_vary_are_dropped(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 0.0, "x"), (2.0, 5.0, 0.1, "y"), (4.0, 5.0, 0.2, None)],
+                               "a double, b double, c double, name string")
+    # Variances 14/9, 0 and 0.02/3; the last is not above 0.01.
+    assert recipes.drop_constant(df, ["a", "b", "c"]).columns == ["a", "name"]
+    assert recipes.drop_constant(df, ["a", "b", "c"], 0.001).columns == ["a", "c", "name"]
+    assert recipes.drop_constant(df.where("false"), ["a"]).columns == df.columns
+
+
+def test_coefficients_above_a_threshold(spark):
+    table = spark.createDataFrame([("a", 0.06), ("b", -0.2), ("c", 0.05), ("d", 0.0)],
+                                  "feature string, coefficient double").withColumn("abs_coefficient", F.abs("coefficient"))
+    assert {r.feature for r in models.above_threshold(table).collect()} == {"a", "b"}
+    assert {r.feature for r in models.above_threshold(table, 0.1).collect()} == {"b"}
