@@ -129,7 +129,7 @@ def test_a_token_file_of_an_attempt_that_was_not_committed_is_not_read(spark, aw
     stored = token_output.write(awkward, TOKENIZER, END)
     again = token_output.block_writer(stored.folder, rans.Tables.unpacked(files.read_range(
         f"{stored.folder}/tables", 0, files.file_size(f"{stored.folder}/tables"))), "<u2")
-    part = pa.RecordBatch.from_pydict({"_id": [1, 2], "ids": [b"\x05\x00", b"\x05\x00"], "row": [0, 1]})
+    part = pa.RecordBatch.from_pydict({"_id": [1, 2], "ids": [b"\x01\x00", b"\x01\x00"], "row": [0, 1]})
     before = [tuple(r) for r in token_output.read(spark, stored, summary=True).collect()]
     names = {row["file"] for batch in again(iter([part])) for row in batch.to_pylist()}
     assert not names & {r.file for r in stored.index.collect()}
