@@ -88,6 +88,11 @@ QUERIES = {
     "reference_features": on("training", shown(
         "training", "employee_agency_tenure", "log_base_salary", *_COUNTS)),
     "yoy_summary": on("panel", "SELECT * FROM panel"),
+    "refreshed_panel": on("panel", f"""
+        SELECT p.*, b.base_salary AS prior_salary,
+               {pct("p.base_salary - b.base_salary", "b.base_salary")} AS growth_pct
+        FROM panel p LEFT JOIN panel b ON b.fiscal_year = p.fiscal_year - 1
+             AND b.title_std = p.title_std AND b.agency_std = p.agency_std"""),
     "title_category_map": on("categories", "SELECT * FROM categories"),
     "title_agency_totals": on("reference", """
         SELECT 'title' AS kind, title_std AS key, CAST(sum(agency_title_count) AS BIGINT) AS records

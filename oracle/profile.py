@@ -69,6 +69,26 @@ FROM {table} GROUP BY 1 {tail}"""
 
 QUERIES = {
     "load_payroll": on("payroll_raw", shown("payroll_raw", "payroll_number")),
+    "rejected_records": on("payroll_raw", """
+        SELECT * FROM (
+          SELECT 'line' AS column_name, CASE payroll_number % 97 WHEN 1 THEN 'missing fields' ELSE 'extra fields' END
+                 AS reason, count(*) AS records
+          FROM payroll_raw WHERE payroll_number % 97 IN (1, 2) GROUP BY 2
+          UNION ALL SELECT 'base_salary', 'not double', count(*) FROM payroll_raw WHERE payroll_number % 97 = 4
+          UNION ALL SELECT 'regular_hours', 'not double', count(*) FROM payroll_raw WHERE payroll_number % 97 = 5
+          UNION ALL SELECT 'agency_start_date', 'not a date', count(*) FROM payroll_raw
+          WHERE agency_start_date = '99/99/9999' AND coalesce(payroll_number % 97, 0) NOT IN (1, 2))
+        WHERE records > 0"""),
+    "accepted_records": on("payroll_raw", f"""
+        WITH whole AS (
+          SELECT * REPLACE (CASE WHEN payroll_number % 97 = 4 THEN NULL ELSE base_salary END AS base_salary,
+                            CASE WHEN payroll_number % 97 = 5 THEN NULL ELSE regular_hours END AS regular_hours)
+          FROM payroll_raw WHERE coalesce(payroll_number % 97, 0) NOT IN (1, 2))
+        {shown("whole", "payroll_number")}"""),
+    "incremental_records": on("payroll_raw", f"""
+        SELECT CASE WHEN fiscal_year <= 2022 THEN 1 ELSE 2 END AS batch, fiscal_year, count(*) AS records,
+               {r("sum(total_ot_paid)")} AS ot_paid
+        FROM (SELECT DISTINCT * FROM payroll_raw) GROUP BY 1, 2"""),
     "dedup_report": on("payroll_raw", """
         SELECT a AS rows_before, b AS rows_after, a - b AS removed
         FROM (SELECT (SELECT count(*) FROM payroll_raw) AS a,

@@ -15,10 +15,10 @@ from stipendia.ml import models, tuning
 from stipendia.operators.ranks import row_mark
 from stipendia.operators.tall import tall, tall_row
 from stipendia.plans import (
-    anomaly, benchmark, clean, features, overtime, profile, recipes, scoring, sketches, tenure, workforce,
+    anomaly, benchmark, clean, features, increments, overtime, profile, recipes, scoring, sketches, tenure, workforce,
 )
 from stipendia.schema import EMPLOYEE_ORDER, NUMERIC_COLUMNS, PAY_COLUMNS, RAW_TYPES
-from stipendia.sources import payroll, sinks, starschema
+from stipendia.sources import payroll, rejects, sinks, starschema
 
 
 # Where the stages of a folder were written in this application, and their schema.
@@ -219,6 +219,51 @@ def _varying_features(t: Tables) -> DataFrame:
     return tall_row(counts, left.columns, ["records"])
 
 
+def _deliveries(t: Tables) -> DataFrame:
+    """Records up to 2022, then 2021 and later ones, then all: offered and newly stored rows of each delivery."""
+    store = session.scratch_path(t.spark, "records")
+    year = F.col("fiscal_year")
+    deliveries = [t.raw.where(year <= 2022), t.raw.where(year >= 2021), t.raw]
+    for number, rows in enumerate(deliveries, 1):
+        increments.add_records(store, rows, number)
+    return increments.stored_records(t.spark, store).groupBy("batch", "fiscal_year").agg(
+        F.count("*").alias("records"), F.sum("total_ot_paid").alias("ot_paid"))
+
+
+def _refreshed_panel(t: Tables) -> DataFrame:
+    """The panel of features in which 2019 was wrong and 2021 was missing, after both were put right."""
+    store = session.scratch_path(t.spark, "panel")
+    year, salary = F.col("fiscal_year"), F.col("base_salary")
+    wrong = t.features.where(year != 2021).withColumn(
+        "base_salary", F.when(year == 2019, salary * 2).otherwise(salary))
+    increments.write_panel(store, wrong)
+    increments.refresh_panel(store, t.features, [2019, 2021])
+    return t.spark.read.parquet(store)
+
+
+def _damaged(t: Tables) -> DataFrame:
+    """The records as lines without a header. By payroll number some lost their last field, some have one too
+    many, and some have words in place of numbers."""
+    mark = F.coalesce(F.col("payroll_number") % 97, F.lit(0))
+    names = list(RAW_TYPES)
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names}
+    texts["base_salary"] = F.when(mark == 4, "n/a").otherwise(texts["base_salary"])
+    texts["regular_hours"] = F.when(mark == 5, "8 hours").otherwise(texts["regular_hours"])
+    whole = F.concat_ws(",", *[texts[c] for c in names])
+    cut = F.concat_ws(",", *[texts[c] for c in names[:-1]])
+    lines = F.when(mark == 1, cut).when(mark == 2, F.concat(whole, F.lit(",0"))).otherwise(whole)
+    path = session.scratch_path(t.spark, "payroll-lines")
+    t.raw.select(lines.alias("value")).write.text(path)
+    return rejects.checked(t.spark, path, names)
+
+
+def _rejected(t: Tables) -> DataFrame:
+    """Faults by column and reason, counted in the stored quarantine table."""
+    path = session.scratch_path(t.spark, "quarantine")
+    rejects.quarantine(_damaged(t), path)
+    return rejects.fault_counts(t.spark.read.parquet(path))
+
+
 SKETCHED = ["agency_std", "title_std", "title_category", "work_location_borough", "total_compensation"]
 
 
@@ -645,6 +690,10 @@ QUERIES: dict[str, Query] = {
         "work_location_borough", "borough_cola").agg(F.count("*").alias("records"))),
     "agency_prestige": on("features", recipes.agency_prestige),
     "split_columns": at(_split_columns),
+    "rejected_records": at(_rejected),
+    "accepted_records": at(lambda t: rejects.accepted(_damaged(t))),
+    "incremental_records": at(_deliveries),
+    "refreshed_panel": at(_refreshed_panel),
     "varying_features": at(_varying_features),
     "coefficient_threshold": at(lambda t: models.above_threshold(_importance(t))),
     "quantile_sketches": at(_quantile_errors),
