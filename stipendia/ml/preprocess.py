@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipendia.ml.cells import COUNT
-from stipendia.operators.ranks import MONEY_STEP, quantiles_of_counts, value_counts
+from stipendia.operators.ranks import quantiles_of_counts, value_counts
 from stipendia.operators.tall import tall
 
 FEATURES = "features"
@@ -17,7 +17,7 @@ FEATURES = "features"
 def _medians(data: DataFrame, numeric: list[str]) -> dict[str, float]:
     values = tall(data, numeric, "double", keep=[COUNT])
     counts = value_counts(values, ["column_name"], F.col("value"), F.col(COUNT))
-    rows = quantiles_of_counts(counts, ["column_name"], {"median": 0.5}, MONEY_STEP).collect()
+    rows = quantiles_of_counts(counts, ["column_name"], {"median": 0.5}, None).collect()
     return {r.column_name: r.median for r in rows}
 
 

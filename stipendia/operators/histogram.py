@@ -18,7 +18,7 @@ def auto_bins() -> Column:
     return F.greatest(F.ceil(F.try_divide(span, width)), F.lit(1))
 
 
-def histogram(counts: DataFrame, keys: list[str], bins: int | None, step: float) -> DataFrame:
+def histogram(counts: DataFrame, keys: list[str], bins: int | None, step: float | None) -> DataFrame:
     """Rows per non-empty bin for each group of (value `_v`, count `_n`) rows.
 
     `bins` equal bins from minimum to maximum; None chooses the number per group. The

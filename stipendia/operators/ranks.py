@@ -4,6 +4,9 @@ The value axis is cut into steps. Rows per step are counted first, a running tot
 the few steps of a group gives the rank at which each step starts, and only then are the
 values inside one step put in order. A group that holds a third of all rows is thereby
 spread over all its steps, and equal values are counted, not repeated.
+
+A step has a fixed width, for values whose range is known (money, years), or none: steps are then stretches of about
+equally many different values, cut where Spark's range partitioning samples them.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stipendia import session
+
 MONEY_STEP = 1000.0
 YEARS_STEP = 1.0
 
@@ -51,6 +56,22 @@ def value_counts(df: DataFrame, keys: list[str], value: Column, weight: Column |
     return tall.groupBy(*keys, "_v").agg(times.alias("_n"))
 
 
+def with_steps(counts: DataFrame, keys: list[str], step: float | None) -> DataFrame:
+    """The step of each counted value as `_step`, rising with the value inside each group.
+
+    With a width, its multiples. Without one the different values of all groups are cut into stretches of about equal
+    length in the order of (keys, value), whatever their range and however uneven; the table is written,
+    since two samples would cut differently. Values of one stretch and group are one step. Counts that have steps
+    keep them, so several statistics can share one written table.
+    """
+    if "_step" in counts.columns:
+        return counts
+    if step is not None:
+        return counts.withColumn("_step", F.floor(F.col("_v") / step))
+    ranged = counts.repartitionByRange(*keys, "_v").withColumn("_step", F.spark_partition_id().cast("long"))
+    return session.written(ranged, "steps")
+
+
 def _steps(stepped: DataFrame, keys: list[str]) -> DataFrame:
     """Per step: rows before it (`_before`), rows in it (`_in`), rows of the group (`_total`)."""
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -71,17 +92,17 @@ def _positions(stepped: DataFrame, steps: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def value_positions(counts: DataFrame, keys: list[str], step: float) -> DataFrame:
+def value_positions(counts: DataFrame, keys: list[str], step: float | None) -> DataFrame:
     """Rank range and group size for every distinct value of every group."""
-    stepped = counts.withColumn("_step", F.floor(F.col("_v") / step))
+    stepped = with_steps(counts, keys, step)
     return _positions(stepped, _steps(stepped, keys), keys)
 
 
 def quantiles_of_counts(
-    counts: DataFrame, keys: list[str], probs: dict[str, float], step: float
+    counts: DataFrame, keys: list[str], probs: dict[str, float], step: float | None
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of (value, count) rows, one column per name."""
-    stepped = counts.withColumn("_step", F.floor(F.col("_v") / step))
+    stepped = with_steps(counts, keys, step)
     steps = _steps(stepped, keys)
 
     def place(p: float) -> Column:
@@ -118,7 +139,8 @@ def moments_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], step: float = MONEY_STEP
+    df: DataFrame, keys: list[str], value: Column, probs: dict[str, float],
+    step: float | None = MONEY_STEP
 ) -> DataFrame:
     return quantiles_of_counts(value_counts(df, keys, value), keys, probs, step)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stipendia.functions.scalars import count_where, percent
 from stipendia.operators.histogram import histogram
 from stipendia.operators.ranks import (
-    MONEY_STEP, fold, moments_of_counts, quantiles_of_counts, value_counts,
+    fold, moments_of_counts, quantiles_of_counts, value_counts, with_steps,
 )
 from stipendia.operators.tall import tall, tall_row
 
@@ -32,13 +32,14 @@ def missing_profile(df: DataFrame, top: int = 20) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: list[str], step: float = MONEY_STEP) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], step: float | None = None) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles and maximum per column.
 
-    Everything follows from one table of counted values, so the input is read once.
+    Everything follows from one table of counted values, so the input is read once. Columns differ in range
+    (ratios, years, pay), so steps follow the values unless a width is given.
     """
     key = ["column_name"]
-    counts = value_counts(tall(df, columns, "double"), key, F.col("value"))
+    counts = with_steps(value_counts(tall(df, columns, "double"), key, F.col("value")), key, step)
     return fold([moments_of_counts(counts, key),
                  quantiles_of_counts(counts, key, QUARTILES, step)], key)
 
@@ -85,8 +86,9 @@ def sign_checks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_histograms(df: DataFrame, columns: list[str]) -> DataFrame:
     """Histogram of every given column, number of bins chosen per column."""
-    counts = value_counts(tall(df, columns, "double"), ["column_name"], F.col("value"))
-    return histogram(counts, ["column_name"], None, MONEY_STEP)
+    key = ["column_name"]
+    counts = with_steps(value_counts(tall(df, columns, "double"), key, F.col("value")), key, None)
+    return histogram(counts, key, None, None)
 
 
 def head_sample(df: DataFrame, order: list[str], rows: int = 200) -> DataFrame:

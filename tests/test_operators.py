@@ -21,7 +21,7 @@ def skewed(spark):
     return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, v double"), pdf
 
 
-@pytest.mark.parametrize("step", [7.0, 1000.0, 1e9])
+@pytest.mark.parametrize("step", [7.0, 1000.0, 1e9, None])
 def test_quantiles_equal_linear_interpolation(skewed, step):
     df, pdf = skewed
     probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}
@@ -34,6 +34,29 @@ def test_quantiles_equal_linear_interpolation(skewed, step):
     assert whole.m == pytest.approx(pdf.v.median(), abs=1e-9)
 
 
+def test_steps_follow_the_values(spark):
+    """A narrow column, one with far outliers and one constant: no step holds more than a tenth of a column."""
+    rows = spark.range(40_000).selectExpr("""stack(3, 'ratio', id / 1e6d, 'tail',
+        if(id < 3, power(10d, 9 + id), id / 1e3d), 'same', 5d) as (k, v)""")
+    counts = ranks.value_counts(rows, ["k"], F.col("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        stepped = ranks.with_steps(counts, ["k"], None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = stepped.groupBy("k", "_step").agg(F.count("*").alias("n"), F.min("_v").alias("low"),
+                                              F.max("_v").alias("high")).collect()
+    assert max(r.n for r in sizes) <= 4000
+    for key in ("ratio", "tail"):
+        ends = sorted((r._step, r.low, r.high) for r in sizes if r.k == key)
+        assert len(ends) > 10 and all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+    found = ranks.quantiles_of_counts(stepped, ["k"], {"m": 0.5}, None).collect()
+    assert {r.k: round(r.m, 7) for r in found} == {"ratio": 0.0199995, "tail": 20.0025, "same": 5.0}
+
+
 def test_summarize_keeps_null_keys_and_groups_without_values(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", None)], "k string, v double")
     found = {r.k: (r.n, r.m) for r in ranks.summarize(
