@@ -83,6 +83,28 @@ def test_decontamination(spark, awkward, empty):
     assert decontamination.contamination(awkward, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_without_filter(spark, monkeypatch):
+    """Shared passages of every length around the window's, found alike when the filter lets all pass."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"v{i}" for i in range(40)]
+    texts = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 80)))) for i in range(30)]
+    items = []
+    for n in range(1, 26):
+        words = texts[n][1].split()
+        at = int(rng.integers(0, max(1, len(words) - n)))
+        items.append((n, " ".join(["x y z", *words[at:at + n], "z y x"]) if n >= 10 else
+                      " ".join(words[at:at + n])))
+    wanted = [(a, b, c, tuple(d)) for a, b, c, d in brute_hits(texts, items)]
+    assert sum(h[2] > 0 for h in wanted) > 10
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for bits in (None, 64):
+        if bits:
+            monkeypatch.setattr(decontamination, "filter_bits", lambda number: bits)
+        found = decontamination.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "items")
+        same([(a, b, c, tuple(d)) for a, b, c, d in found.collect()], wanted)
+
+
 def test_token_files(spark, awkward, empty):
     stored = token_output.write(awkward, TOKENIZER, END)
     docs = sorted(((r[0], r[1]) for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0))
