@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join side even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Removing repeated rows keeps the different rows of a task in memory before the shuffle, and
+    # spills what doesn't fit. Small tasks, of scans and after shuffles, have room for theirs.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     # The JVM does not compile methods above this size. Long rule chains would be interpreted
     # inside whole-stage code; below the limit Spark splits them into small compiled methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -76,12 +80,11 @@ def staged(df: DataFrame, name: str, *partitions: str) -> tuple[str, StructType]
     """Write a table once to the shared folder; what to read it back with.
 
     Later jobs start from the files: they prune columns and partitions, and a lost executor
-    costs a re-read only.
+    costs a re-read only. Tasks write their own rows of each partition, as partitions are few (splits,
+    years): a shuffle to have fewer files would cost more than they do.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.hint("rebalance", *partitions).write.partitionBy(*partitions) if partitions else \
-        df.write
-    writer.parquet(path)
+    df.write.partitionBy(*partitions).option("compression", "zstd").parquet(path)
     return path, df.schema
 
 

@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from stipendia import session
 from stipendia.ml import models
 from stipendia.plans import anomaly, benchmark, clean, features, overtime, recipes, scoring
 from stipendia.sources import payroll, sinks, synthetic
@@ -160,3 +161,26 @@ def test_coefficients_above_a_threshold(spark):
                                   "feature string, coefficient double").withColumn("abs_coefficient", F.abs("coefficient"))
     assert {r.feature for r in models.above_threshold(table).collect()} == {"a", "b"}
     assert {r.feature for r in models.above_threshold(table, 0.1).collect()} == {"b"}
+
+
+def test_small_tasks_are_set_unless_chosen(spark):
+    """Tasks of scans and shuffles are small, so that the different rows of one fit its memory."""
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    other = spark.newSession()
+    for key in keys:
+        other.conf.unset(key)
+    other.conf.set(keys[1], "48m")
+    session.tune(other)
+    assert [other.conf.get(key) for key in keys] == ["16m", "48m"]
+
+
+def test_partitions_are_written_without_a_shuffle(spark, tables):
+    context, rows = spark.sparkContext, tables.model
+    context.setJobGroup("parts", "parts")
+    path, schema = session.staged(rows.withColumn("part", F.col("fiscal_year") % 2), "parts", "part")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    jobs = status.getJobIdsForGroup("parts")
+    assert [len(status.getJobInfo(j).stageIds) for j in jobs] == [1]
+    back = spark.read.schema(schema).parquet(path)
+    assert back.where("part = 1").count() == rows.where("fiscal_year % 2 = 1").count()
