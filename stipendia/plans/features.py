@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stipendia import session
 from stipendia.functions.buckets import MODEL_TENURE, bucket
 from stipendia.functions.scalars import clean_text, clip, log_salary, title_case, to_double
 from stipendia.operators.lookup import attach
@@ -83,7 +84,10 @@ def cell_features(df: DataFrame) -> DataFrame:
 
 
 def _with_cells(df: DataFrame, *columns: str) -> DataFrame:
-    return attach(df, cell_features(df).select(*CELL, *columns), CELL, "inner")
+    """Records with features of their cells. Cells are written before the join, so their size is known when
+    it is planned: records are shuffled only where the cells are too many to be broadcast."""
+    found = session.written(cell_features(df).select(*CELL, *columns), "cells")
+    return attach(df, found, CELL, "inner")
 
 
 def tenure_proxy(df: DataFrame) -> DataFrame:

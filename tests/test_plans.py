@@ -174,6 +174,14 @@ def test_small_tasks_are_set_unless_chosen(spark):
     assert [other.conf.get(key) for key in keys] == ["16m", "48m"]
 
 
+def test_features_shuffle_no_records(spark, tables):
+    """The cells have a known size when they are joined, so the plan has no exchange of the records."""
+    model, found = tables.model, features.feature_table(tables.model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert found.count() == model.join(features.cell_features(model), features.CELL).count()
+
+
 def test_partitions_are_written_without_a_shuffle(spark, tables):
     context, rows = spark.sparkContext, tables.model
     context.setJobGroup("parts", "parts")
