@@ -30,34 +30,33 @@ def row_digest(columns: list[str]):
     return F.unhex(F.md5(F.concat_ws("|", *map(shown, sorted(columns)))))
 
 
-def _batches(spark: SparkSession, store: str, part: str) -> DataFrame | None:
-    """All deliveries of the records or of the digests; None before the first one."""
-    path = f"{store}/{part}"
+def _records(spark: SparkSession, store: str) -> DataFrame | None:
+    """The records of all deliveries with their digests; None before the first one."""
+    path = f"{store}/records"
     return spark.read.parquet(path) if session.exists(spark, path) else None
 
 
 def add_records(store: str, delivery: DataFrame, batch: int) -> None:
     """Store the rows of a delivery that no other delivery has, once each.
 
-    Only the delivery and 16 bytes a stored row are read and shuffled. Records are written before their digests, each
+    Of the stored rows only 16 bytes each are read and shuffled. Digests of the delivery are compared first, so rows
+    are shuffled for what is new: a delivery without news moves digests only. Records keep their digests, each
     delivery in its own partition, and a delivery isn't compared with itself: one that was cut off, or that is
     delivered twice under its number, is simply added again. Two deliveries must not be added at the same time.
     """
     spark = delivery.sparkSession
-    columns = delivery.columns
-    rows = delivery.withColumn(DIGEST, row_digest(columns)).dropDuplicates([DIGEST])
-    known = _batches(spark, store, "digests")
+    rows = delivery.withColumn(DIGEST, row_digest(delivery.columns))
+    known = _records(spark, store)
     if known is not None:
         others = known.where(F.col("batch") != batch).select(DIGEST)
-        rows = rows.join(others, DIGEST, "left_anti")
-    records, digests = (f"{store}/{part}/batch={batch}" for part in ("records", "digests"))
-    rows.write.mode("overwrite").parquet(records)
-    spark.read.schema(rows.schema).parquet(records).select(DIGEST).write.mode("overwrite").parquet(digests)
+        fresh = session.written(rows.select(DIGEST).distinct().join(others, DIGEST, "left_anti"), "fresh")
+        rows = rows.limit(0) if fresh.isEmpty() else rows.join(fresh, DIGEST, "left_semi")
+    rows.distinct().write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/records/batch={batch}")
 
 
 def stored_records(spark: SparkSession, store: str) -> DataFrame:
     """All stored rows with the number of the delivery they came with."""
-    return _batches(spark, store, "records").drop(DIGEST)
+    return _records(spark, store).drop(DIGEST)
 
 
 def _with_growth(panel: DataFrame, prior: DataFrame) -> DataFrame:

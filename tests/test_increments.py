@@ -49,6 +49,20 @@ def test_delivery_cut_off_before_its_digests(spark, tmp_path):
     same_rows(increments.stored_records(spark, store).drop("batch"), first.union(second).distinct())
 
 
+def test_delivery_without_news_shuffles_digests_only(spark, tmp_path, monkeypatch):
+    """Nothing is written beside the records, and rows are joined only to digests that are new."""
+    store, fresh = str(tmp_path / "store"), []
+    written = increments.session.written
+    monkeypatch.setattr(increments.session, "written", lambda df, name: fresh.append(written(df, name)) or fresh[-1])
+    first, second = spark.createDataFrame(FIRST, ROWS), spark.createDataFrame(SECOND, ROWS)
+    for number, rows in enumerate((first, second, first.union(second)), 1):
+        increments.add_records(store, rows, number)
+    assert [table.columns for table in fresh] == [["_digest"]] * 2
+    assert [table.count() for table in fresh] == [2, 0]
+    assert os.listdir(store) == ["records"]
+    same_rows(increments.stored_records(spark, store).drop("batch"), first.union(second).distinct())
+
+
 def test_cells_do_not_run_into_each_other(spark):
     rows = [("a|1:b", "c"), ("a", "b|1:c"), ("~", None), (None, "~"), ("", None), (None, "")]
     df = spark.createDataFrame(rows, "x string, y string")
