@@ -36,13 +36,6 @@ def cells(df: DataFrame, categorical: list[str], numeric: list[str], *keep: str)
     return durable(sums.withColumn(MEAN, F.col(SUM) / F.col(COUNT)))
 
 
-def outcomes(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
-    """Records per distinct input and target, for metrics that need single errors."""
-    rows = prepared(df, categorical, numeric, TARGET).where(F.col(TARGET).isNotNull())
-    return rows.groupBy(TARGET, *categorical, *numeric).agg(
-        F.count("*").cast("double").alias(COUNT))
-
-
 def cell_r2(predictions: DataFrame) -> float:
     """r2 over the records behind the cells."""
     p, n, s, q = F.col("prediction"), F.col(COUNT), F.col(SUM), F.col(SQUARES)
@@ -51,14 +44,13 @@ def cell_r2(predictions: DataFrame) -> float:
     return predictions.agg(1 - error / total).first()[0]
 
 
-def weighted_metrics(predictions: DataFrame, actual: Column) -> DataFrame:
-    """Records, r2, RMSE and MAE of counted outcomes."""
-    n, error = F.col(COUNT), actual - F.col("prediction")
-    total = F.sum(n)
-    squares = F.sum(n * error * error)
-    centre = F.sum(n * actual) / total
-    variance = F.sum(n * actual * actual) - total * centre * centre
-    return predictions.agg(
+def metrics(actual: Column, prediction: Column, weight: Column) -> Column:
+    """Records, r2, RMSE and MAE as one aggregate."""
+    error, total = actual - prediction, F.sum(weight)
+    squares = F.sum(weight * error * error)
+    centre = F.sum(weight * actual) / total
+    variance = F.sum(weight * actual * actual) - total * centre * centre
+    return F.struct(
         total.cast("long").alias("rows"), (1 - squares / variance).alias("r2"),
-        F.sqrt(squares / total).alias("rmse"), (F.sum(n * F.abs(error)) / total).alias("mae"),
+        F.sqrt(squares / total).alias("rmse"), (F.sum(weight * F.abs(error)) / total).alias("mae"),
     )

@@ -10,9 +10,11 @@ from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, Ran
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stipendia import session
 from stipendia.ml import penalty, trees
-from stipendia.ml.cells import TARGET, cells, outcomes, weighted_metrics
+from stipendia.ml.cells import TARGET, cells, metrics, prepared
 from stipendia.ml.preprocess import FEATURES, feature_names, fit_preprocessor
+from stipendia.operators.ranks import join_on
 from stipendia.plans.features import model_columns
 from stipendia.plans.scoring import score_with_errors
 from stipendia.sources.payroll import load_optional
@@ -62,10 +64,31 @@ class Setup:
     def pipeline(self, model) -> PipelineModel:
         return PipelineModel(stages=[*self.preprocessor.stages, model])
 
+    def predictions(self, found: dict[str, object], df: DataFrame) -> DataFrame:
+        """What each model says for each distinct input of a table, a column a model, written."""
+        inputs = [*self.categorical, *self.numeric]
+        scored = self.preprocessor.transform(prepared(df, self.categorical, self.numeric).distinct())
+        for name, model in found.items():
+            scored = model.transform(scored).withColumnRenamed("prediction", f"by_{name}")
+        return session.written(scored.select(*inputs, *[f"by_{name}" for name in found]), "predictions")
+
+    def compare(self, found: dict[str, object], test: DataFrame) -> DataFrame:
+        """r2, RMSE and MAE over all test records, a row a model; all models in one pass over the records.
+
+        Models see each distinct input once. Predictions are written before records are joined to them, so records
+        are shuffled only where the inputs are too many to be broadcast.
+        """
+        inputs = [*self.categorical, *self.numeric]
+        rows = prepared(test, self.categorical, self.numeric, TARGET).where(F.col(TARGET).isNotNull())
+        known = join_on(rows, self.predictions(found, test), inputs, "inner")
+        scores = [metrics(F.col(TARGET), F.col(f"by_{name}"), F.lit(1.0)).alias(name) for name in found]
+        listed = F.array(*[F.struct(F.lit(name).alias("model"), *[
+            F.col(name)[c].alias(c) for c in ("rows", "r2", "rmse", "mae")]) for name in found])
+        return known.agg(*scores).select(F.inline(listed))
+
     def evaluate(self, model, test: DataFrame) -> DataFrame:
         """r2, RMSE and MAE over all test records."""
-        grouped = outcomes(test, self.categorical, self.numeric)
-        return weighted_metrics(self.pipeline(model).transform(grouped), F.col(TARGET))
+        return self.compare({"one": model}, test).drop("model")
 
 
 def prepare(train: DataFrame, *keep: str) -> Setup:

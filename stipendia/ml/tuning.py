@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipendia.ml import models, penalty, trees
-from stipendia.ml.cells import SQUARES, SUM
+from stipendia.ml.cells import SQUARES, SUM, TARGET
 from stipendia.operators.folds import contiguous_folds, group_folds
 
 # Exponents of the alpha grids, and the space of boosted trees.
@@ -35,7 +35,7 @@ def draws(seed: int = 42, count: int = DRAWS) -> list[dict]:
 
 
 def folded_cells(setup: models.Setup, df: DataFrame, k: int) -> DataFrame:
-    return setup.cells(contiguous_folds(df, k), "fold")
+    return setup.cells(contiguous_folds(df, k, keep=[*setup.categorical, *setup.numeric, TARGET]), "fold")
 
 
 def group_folded_cells(setup: models.Setup, df: DataFrame, k: int, *group: str) -> DataFrame:

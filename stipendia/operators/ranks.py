@@ -178,7 +178,8 @@ def labelled(df: DataFrame, keys: list[str], mark: Column, label, name: str) ->
     as one row a group. All rows of other slots get their label from that row. Only
     rows of the slots with a change are put in order.
     """
-    slot = F.conv(F.substring("_mark", 1, 4), 16, 10).cast("long")
+    # A slot that cannot be null needs no test for it, which would make the mark a second time.
+    slot = F.coalesce(F.conv(F.substring("_mark", 1, 4), 16, 10).cast("long"), F.lit(0))
     marked = df.withColumn("_mark", mark).withColumn("_slot", slot)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     along = group.orderBy("_slot")
@@ -191,14 +192,16 @@ def labelled(df: DataFrame, keys: list[str], mark: Column, label, name: str) ->
     }).withColumn("_prior", F.lag("_last").over(along))
     changes = slots.where("_prior is null or _first <> _prior or _first <> _last").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_slot", "_first", "_last", "_before"))).alias("_changes"),
+        F.collect_list(F.when(F.col("_first") != F.col("_last"), F.col("_slot"))).alias("_open"),
         F.max("_total").alias("_total"))
-    joined = join_on(marked, changes, keys, "inner").withColumn("_at", F.element_at(
-        F.filter("_changes", lambda c: c["_slot"] <= F.col("_slot")), -1))
-    open_ = (F.col("_at._slot") == F.col("_slot")) & (F.col("_at._first") != F.col("_at._last"))
+    joined = join_on(marked, changes, keys, "inner")
+    # Rows are told apart by a plain test; the change that a row is at is looked up once, for the row's label.
+    open_ = F.array_contains("_open", F.col("_slot"))
+    at = F.element_at(F.filter("_changes", lambda c: c["_slot"] <= F.col("_slot")), -1)
     inside = Window.partitionBy(*keys, "_slot").orderBy("_mark", *(
         c for c, kind in df.dtypes if not kind.startswith("map")))
-    row = F.col("_at._before") + F.row_number().over(inside) - 1
-    sure = joined.where(~open_).withColumn(name, F.col("_at._last"))
+    row = at["_before"] + F.row_number().over(inside) - 1
+    sure = joined.where(~open_).withColumn(name, at["_last"])
     placed = joined.where(open_).withColumn("_row", row).withColumn(
         name, label(F.col("_row"), F.col("_total"))).drop("_row")
-    return sure.unionByName(placed).drop("_mark", "_slot", "_changes", "_total", "_at")
+    return sure.unionByName(placed).drop("_mark", "_slot", "_changes", "_open", "_total")

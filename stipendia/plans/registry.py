@@ -403,9 +403,7 @@ def _evaluated(t: Tables, *kinds: str) -> DataFrame:
     linear = [kind for kind in kinds if kind in models.DEFAULT_ALPHA]
     found = models.train_linear(setup, dict.fromkeys(linear)) if linear else {}
     found.update({kind: models.train_model(kind, setup) for kind in kinds if kind not in found})
-    rows = [{"model": kind, **setup.evaluate(found[kind], _splits(t)[2]).first().asDict()} for kind in kinds]
-    return t.spark.createDataFrame(
-        rows, "model string, rows long, r2 double, rmse double, mae double")
+    return setup.compare({kind: found[kind] for kind in kinds}, _splits(t)[2])
 
 
 def _preprocess(t: Tables) -> DataFrame:
@@ -417,16 +415,22 @@ def _preprocess(t: Tables) -> DataFrame:
         F.size(vector).alias("entries"), *[f"{c}__z" for c in setup.numeric])
 
 
-# Results of searches per folder: each search runs once per application.
+# Results of searches per folder: each search runs once per application, all on the same folded cells.
 _TUNED: dict[tuple, dict] = {}
+_FOLDED: dict[tuple[str, str, int], DataFrame] = {}
+
+
+def _folded(t: Tables, k: int) -> DataFrame:
+    if (*_key(t), k) not in _FOLDED:
+        _FOLDED[(*_key(t), k)] = tuning.folded_cells(_setup(t), _splits(t)[0], k)
+    return _FOLDED[(*_key(t), k)]
 
 
 def _tuned(t: Tables, kind: str, k: int = 3) -> dict:
     """The best settings of a kind over k folds of the training years; the penalties are searched together."""
     if (*_key(t), kind) not in _TUNED:
-        folded = tuning.folded_cells(_setup(t), _splits(t)[0], k)
-        found = {"gbt": tuning.tune_boosting(folded, k)} if kind == "gbt" else \
-            tuning.tune_alphas(folded, k, list(tuning.ALPHA_EXPONENTS))
+        found = {"gbt": tuning.tune_boosting(_folded(t, k), k)} if kind == "gbt" else \
+            tuning.tune_alphas(_folded(t, k), k, list(tuning.ALPHA_EXPONENTS))
         _TUNED.update({(*_key(t), name): value for name, value in found.items()})
     return _TUNED[(*_key(t), kind)]
 
@@ -450,13 +454,12 @@ def _leaderboard(t: Tables) -> DataFrame:
     found["rf"] = models.train_model("rf", _setup(t))
     tuned = {name: value for name, value in _tuned(t, "gbt").items() if name != "best_cv_r2"}
     found["gbt"] = models.train_boosting(_setup(t).binned, **tuned)
-    scores = {kind: _setup(t).evaluate(model, _splits(t)[2]).first() for kind, model in found.items()}
+    scores = {row.model: row for row in _setup(t).compare(found, _splits(t)[2]).collect()}
     best = max(scores, key=lambda kind: scores[kind].r2)
     models.save_model(t.spark, _setup(t).pipeline(found[best]),
                       session.scratch_path(t.spark, "champion"), best, test_r2=scores[best].r2)
     return scoring.leaderboard(t.spark.createDataFrame(
-        [{"model": kind, **row.asDict()} for kind, row in scores.items()],
-        "model string, rows long, r2 double, rmse double, mae double"))
+        list(scores.values()), "model string, rows long, r2 double, rmse double, mae double"))
 
 
 def _group_validated(t: Tables, k: int = 5) -> DataFrame:
@@ -484,9 +487,9 @@ def _saved(t: Tables) -> DataFrame:
     """The registry of the linear family, fitted once, saved and scored on the test year."""
     if _key(t) not in _MODELS or not session.exists(t.spark, _MODELS[_key(t)]):
         folder = session.scratch_path(t.spark, "models")
-        for kind, model in models.train_linear(_setup(t), dict.fromkeys(models.DEFAULT_ALPHA)).items():
-            score = _setup(t).evaluate(model, _splits(t)[2]).first()
-            models.save_model(t.spark, _setup(t).pipeline(model), folder, kind, test_r2=score.r2)
+        found = models.train_linear(_setup(t), dict.fromkeys(models.DEFAULT_ALPHA))
+        for score in _setup(t).compare(found, _splits(t)[2]).collect():
+            models.save_model(t.spark, _setup(t).pipeline(found[score.model]), folder, score.model, test_r2=score.r2)
         _MODELS[_key(t)] = folder
     return models.load_registry(t.spark, _MODELS[_key(t)])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stipendia import session
 from stipendia.ml import models, tuning
-from stipendia.plans import scoring
+from stipendia.plans import registry, scoring
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +163,33 @@ def test_saved_models_can_be_ranked_and_used(spark, data):
     found = models.predict(PipelineModel.load(best.path), df, 2016)
     assert 0 < found.count() == df.where("fiscal_year = 2016").count()
     assert found.agg(F.avg(F.abs("salary_error_pct")).alias("e")).first().e < 30
+
+
+def test_models_are_compared_on_distinct_inputs_in_one_pass(data):
+    df, _ = data
+    setup = models.prepare(df)
+    found = models.train_linear(setup, {"ridge": 7.0, "lasso": 0.01})
+    test = df.unionByName(df.limit(5).withColumn("log_base_salary", F.lit(None).cast("double")))
+    by_model = {row.model: row for row in setup.compare(found, test).collect()}
+    assert list(by_model) == ["ridge", "lasso"]
+    for kind, model in found.items():
+        scored = setup.pipeline(model).transform(df)
+        by_row = scoring.regression_metrics(scored, F.col("log_base_salary"), F.col("prediction")).first()
+        for name in ("rows", "r2", "rmse", "mae"):
+            assert by_model[kind][name] == pytest.approx(by_row[name], rel=1e-9)
+    inputs = [*setup.categorical, *setup.numeric]
+    said = setup.predictions(found, test)
+    assert said.count() == df.select(*inputs).distinct().count()
+    assert setup.compare(found, df.limit(0)).count() == 2
+
+
+def test_searches_share_their_folds(tables, monkeypatch):
+    made, told = [], {"best_cv_r2": 0.0}
+    monkeypatch.setattr(registry, "_TUNED", {})
+    monkeypatch.setattr(registry, "_FOLDED", {})
+    monkeypatch.setattr(registry, "_setup", lambda t: None)
+    monkeypatch.setattr(tuning, "folded_cells", lambda setup, df, k: made.append(k) or len(made))
+    monkeypatch.setattr(tuning, "tune_alphas", lambda folded, k, kinds: {kind: {"on": folded} for kind in kinds})
+    monkeypatch.setattr(tuning, "tune_boosting", lambda folded, k: {"on": folded, **told})
+    assert {registry._tuned(tables, kind)["on"] for kind in ("ridge", "gbt", "lasso")} == {1}
+    assert made == [3]

@@ -143,3 +143,18 @@ def test_labels_do_not_depend_on_partitions(spark):
         assert one.exceptAll(two).count() == 0 and one.count() == 2000
         sizes = [r["count"] for r in one.groupBy(*keys, "label").count().collect()]
         assert max(sizes) - min(sizes) <= 2
+
+
+def test_folds_keep_wanted_columns_and_make_digests_once(spark):
+    rows = [(i % 7, i / 3, None if i % 5 == 0 else f"t{i % 11}") for i in range(200)] + [(1, 0.5, "x")] * 9
+    df = spark.createDataFrame(rows, "a int, b double, c string")
+    kept = folds.contiguous_folds(df, 4, keep=["c", "a"])
+    assert kept.columns == ["a", "c", "fold"]
+    assert "md5" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    whole = folds.contiguous_folds(df, 4)
+    assert sorted(map(str, whole.select(*kept.columns).collect())) == sorted(map(str, kept.collect()))
+    marks = df.select(ranks.row_mark(df.columns).alias("m"), "a", "c").orderBy("m").collect()
+    sizes = [53, 52, 52, 52]
+    placed = [f for f, n in enumerate(sizes) for _ in range(n)]
+    assert sorted(map(str, kept.collect())) == sorted(
+        f"Row(a={r.a}, c={r.c!r}, fold={f})" for r, f in zip(marks, placed))
